@@ -112,13 +112,13 @@ def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return buf[o[0] : o[-1]], o - o[0]
 
 
-def row_slices(offs: np.ndarray, limit: int = PIECE):
-    """Row ranges of at most ``limit`` bytes, or of one row that is longer."""
+def row_slices(offs: np.ndarray, limit: int = PIECE, rows: int = 1 << 16):
+    """Row ranges of at most ``limit`` bytes and ``rows`` rows, or of one row that is longer."""
     lo, n = 0, len(offs) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(n, lo + rows, max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1))
+        yield lo, hi
+        lo = hi
 
 
 def mix(h: np.ndarray) -> np.ndarray:
