@@ -7,6 +7,7 @@ never takes an intermediate result with it and no lineage is recomputed across s
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -38,9 +39,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice that earlier frames are gone, so that their shuffle files leave the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def clear() -> None:
     """Remove the scratch tables of this process; frames that still read them become invalid."""

@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> (module, function). SQL is the module's ``ORACLE_SQL``, where SQL can express the query.
 NAMES = {
     "op1_source_mixing": ("mixing", "op1"),
+    "op2_suffix_dedup": ("suffix_dedup", "op2"),
     "op5_language_id": ("langid", "op5"),
     "op9_best_fit_packing": ("packing", "op9"),
     "op10_warc_index": ("warc", "op10"),
