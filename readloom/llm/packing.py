@@ -23,29 +23,62 @@ from pyspark.sql import functions as F
 from readloom.llm import kit
 
 CAPACITY = 2048
-#: Distinct chunks of text whose ids a task keeps at once (memory only; results don't depend on it).
-CACHE = 400_000
+#: Chunks and words whose ids a worker keeps in each of two generations (memory only; results don't depend on it).
+CHUNKS, WORDS = 300_000, 500_000
 #: Characters of a text that are split at once.
 PART = 1 << 22
 BREAK = re.compile("[ \t\n\r]+")
 VOCABULARY = "word_bpe_49k.json"
 
 
-class Chunks(dict):
-    """Ids of white-space delimited chunks. The vocabulary's splitter never joins across a space, tab or line break."""
+def _byte_letters() -> list[str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others take the letters from U+0100 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+
+
+class Cached(dict):
+    """Values by key in two generations: when the young one is full it becomes the old one, and the old one goes."""
+
+    def __init__(self, make, size: int) -> None:
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= 64:
+            self[key] = value
+        return value
+
+
+class Chunks:
+    """Ids of texts, by white-space delimited chunks. The vocabulary's splitter never joins across a space, tab or line break.
+
+    A chunk of Latin letters and then punctuation is one word and one run of marks for the splitter; its word
+    goes to the merges directly. Every other chunk goes through the whole tokenizer.
+    """
+
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
+        self.words, self.chunks = Cached(self.word, WORDS), Cached(self.chunk, CHUNKS)
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+    def word(self, word: str) -> bytes:
+        return np.asarray([t.id for t in self.tokenizer.model.tokenize("".join([self.letters[b] for b in word.encode()]))], "<u4").tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        m = self.PLAIN.fullmatch(chunk)
+        if m:
+            return self.words[m[1].lower()] + (self.words[m[2]] if m[2] else b"")
+        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit words. A very long text goes through in parts cut at white space."""
@@ -54,11 +87,21 @@ class Chunks(dict):
             cut = BREAK.search(text, at + PART)
             end = cut.start() if cut else len(text)
             part = text[at:end]
-            parts.append(b"".join(map(self.__getitem__, BREAK.split(part) if "\t" in part or "\r" in part else part.replace("\n", " ").split(" "))))
+            parts.append(b"".join(map(self.chunks.__getitem__, BREAK.split(part) if "\t" in part or "\r" in part else part.replace("\n", " ").split(" "))))
             at = end
         return b"".join(parts)
 
 
+_kept: dict[str, Chunks] = {}
+
+
+def chunks_of(path: str) -> Chunks:
+    """One per worker process, which Spark uses for many tasks."""
+    if path not in _kept:
+        _kept[path] = Chunks(path)
+    return _kept[path]
+
+
 def tokenized(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     """One row per piece: (doc_id, piece, start, length, ids_crc32, task, nth), nth counting equal lengths within the task."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -66,7 +109,7 @@ def tokenized(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        chunks, task, counts, zero = Chunks(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.uint32(0).tobytes()
+        chunks, task, counts, zero = chunks_of(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.uint32(0).tobytes()
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for k, doc in enumerate(ids):
