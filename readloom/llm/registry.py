@@ -9,6 +9,7 @@ NAMES = {
     "op1_source_mixing": ("mixing", "op1"),
     "op2_suffix_dedup": ("suffix_dedup", "op2"),
     "op5_language_id": ("langid", "op5"),
+    "op8_ngram_jaccard": ("jaccard", "op8"),
     "op9_best_fit_packing": ("packing", "op9"),
     "op10_warc_index": ("warc", "op10"),
 }
