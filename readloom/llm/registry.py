@@ -8,6 +8,8 @@ from importlib import import_module
 NAMES = {
     "op1_source_mixing": ("mixing", "op1"),
     "op2_suffix_dedup": ("suffix_dedup", "op2"),
+    "op4_exact_topk": ("topk", "op4"),
+    "op6_lattice_dedup": ("lattice", "op6"),
     "op5_language_id": ("langid", "op5"),
     "op8_ngram_jaccard": ("jaccard", "op8"),
     "op9_best_fit_packing": ("packing", "op9"),
