@@ -10,6 +10,8 @@ NAMES = {
     "op2_suffix_dedup": ("suffix_dedup", "op2"),
     "op4_exact_topk": ("topk", "op4"),
     "op6_lattice_dedup": ("lattice", "op6"),
+    "op3_url_filter": ("urls", "op3"),
+    "op7_license_scan": ("licenses", "op7"),
     "op5_language_id": ("langid", "op5"),
     "op8_ngram_jaccard": ("jaccard", "op8"),
     "op9_best_fit_packing": ("packing", "op9"),
