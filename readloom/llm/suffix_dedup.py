@@ -407,7 +407,7 @@ def strip(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else in the corpus.
 
     Returns (row, kept, n_bytes, n_removed, n_spans, kept_sha256); ``row`` is a struct of the input's columns (or of
-    ``keep``), ``kept`` the remaining bytes (null unless something was removed and ``texts``). Null text is empty; texts
+    ``keep``), ``kept`` the remaining text without characters that were cut in two (null unless something was removed and ``texts``). Null text is empty; texts
     shorter than ``length`` are never touched; repeated rows are each other's repeats and lose their whole text;
     strings are judged on the input; an empty table gives no rows.
     """
@@ -435,10 +435,10 @@ def strip(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
                 rest = b"".join(data[x:y] for x, y in zip(np.append(0, last), np.append(first, len(data))))
                 removed[k], n_spans[k], sha[k] = (last - first).sum(), len(first), hashlib.sha256(rest).hexdigest()
                 if texts:
-                    kept[k] = rest
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), b.column(1), pa.array(removed), pa.array(n_spans), pa.array(sha, pa.string())], names=[f.name for f in out])
+                    kept[k] = rest.decode("utf-8", "ignore")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), b.column(1), pa.array(removed), pa.array(n_spans), pa.array(sha, pa.string())], names=[f.name for f in out])
 
-    out = T.StructType([both.schema["row"], *[T.StructField(c, t()) for c, t in (("kept", T.BinaryType), ("n_bytes", T.LongType), ("n_removed", T.LongType), ("n_spans", T.LongType), ("kept_sha256", T.StringType))]])
+    out = T.StructType([both.schema["row"], *[T.StructField(c, t()) for c, t in (("kept", T.StringType), ("n_bytes", T.LongType), ("n_removed", T.LongType), ("n_spans", T.LongType), ("kept_sha256", T.StringType))]])
     return both.mapInArrow(run, out)
 
 
