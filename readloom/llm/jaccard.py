@@ -30,6 +30,8 @@ SHINGLE, PERCENT = 5, 75
 SUBSET = 2
 #: Shingles that a task holds before it hands them on; shingles of the sets in a block.
 FLUSH, BLOCK = 1 << 20, 1 << 20
+#: Cost of meeting one entry of an inverted list, in signatures (each of those is shuffled, sorted and grouped).
+ENTRY = 0.02
 #: Sets that a task holds; with those of a piece of text still to come, fewer than 2**16.
 FLUSH_SETS = 20_000
 
@@ -168,7 +170,7 @@ def _survivors(percent: int):
                 lo, hi, n = cut[d], cut[d + 1], int(sizes[d])
                 gone = n - int(hi - lo)
                 one, two = room(n, percent) + 1 - gone, room(n, percent) + SUBSET - gone
-                out.append((nodes[d].tobytes(), n, t[lo:hi].view(np.int64), float(df[lo : lo + one].sum()), two * (two - 1) / 2.0))
+                out.append((nodes[d].tobytes(), n, t[lo:hi].view(np.int64), float(one + ENTRY * df[lo : lo + one].sum()), two * (two - 1) / 2.0))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64())), pa.array([x[3] for x in out], pa.float64()), pa.array([x[4] for x in out], pa.float64())], names=["sig", "n", "tokens", "scan", "subsets"])
 
         now, parts, bits = None, [], []
