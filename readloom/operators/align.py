@@ -17,10 +17,10 @@ from readloom.plans.config import Config
 #: Bases of a library up to which its index is broadcast (about 60 bytes a base); larger ones are joined by shuffle.
 BROADCAST_BASES = 1 << 20
 
-#: Why a read or pair was dropped, as it is printed.
+# Why a read or pair was dropped, as it is printed (spelling included).
 MATCH, NO_MATCH, SHORT, COMPLEXITY = "Successful Match", "No Match", "Short Read", "Low Entropy"
 BELOW, MULTIPLE, NONZERO, ABOVE = "Score Below Threshold", "Discarded Multiple Match", "Discarded Nonzero Mismatch", "Above Mismatch Threshold"
-PAIR, FORCE_FAILED, MAX_HITS, EMPTY, DUMMY = "Not Matching Pair", "Force Intersect Failure", "Max Hits Exceeded", "Equivalence Class Empty After Filters", "Skipped Align Due To Unpaired Dummy"
+PAIR, FORCE_FAILED, MAX_HITS, EMPTY, DUMMY = "Required Valid Pair Not Matching", "Force Intersect Failure", "Max Hits Exceeded", "Equivalence Class Empty After Filters", "SKipped Align Due To Unpaired Dummy Read"
 
 
 def sized(index: DataFrame, library: DataFrame) -> DataFrame:
