@@ -24,7 +24,7 @@ from readloom.llm import kit
 
 CAPACITY = 2048
 #: Chunks and words whose ids a worker keeps in each of two generations (memory only; results don't depend on it).
-CHUNKS, WORDS = 300_000, 500_000
+CHUNKS, WORDS = 60_000, 150_000
 #: Characters of a text that are split at once.
 PART = 1 << 22
 BREAK = re.compile("[ \t\n\r]+")
