@@ -30,6 +30,8 @@ from readloom.llm import kit
 LENGTH, GRAM = 200, 64
 #: Anchors and suffixes that a task holds before it hands them on.
 FLUSH, RUN = 1 << 18, 1 << 15
+#: Suffixes of one gram that are merged in one task; the strings of grams with more are met one by one.
+HOT = 1 << 17
 #: Texts sampled for the borders of the ranges (they shape the load only, never the result).
 SAMPLE = 2000
 
@@ -141,8 +143,8 @@ def _rows(key, start, end):
     return pa.RecordBatch.from_arrays([pa.array([x.ljust(12, b"\0") for x in key.tolist()], pa.binary()), pa.array(np.asarray(start, np.int64)), pa.array(np.asarray(end, np.int64))], names=["key", "a", "b"])
 
 
-def _grams(length: int):
-    """Per bucket: spans (a < b) of contexts that occur again, and requests (a = position, b = -1, or -2 for a partner) for suffixes to compare."""
+def _grams(length: int, most: int):
+    """Per bucket: spans (a < b) of contexts that occur again, and requests for suffixes to compare: a = position, b = -1 (-2 for a partner, -3 in a hot gram)."""
 
     def settle(parts):
         a = np.concatenate(parts)
@@ -160,7 +162,8 @@ def _grams(length: int):
         owner = rep & again & c & mixed
         yield _rows(*_whole(a[again & (a["multi"] == 0)], length))
         ask = single | owner
-        yield _rows(a["key"][ask], a["pos"][ask], np.where(owner[ask], -2, -1))
+        hot = (np.bincount(of_g, ask) > most)[of_g]
+        yield _rows(a["key"][ask], a["pos"][ask], np.where(hot[ask], -3, np.where(owner[ask], -2, -1)))
 
     def run(batches):
         bucket, parts = None, []
@@ -368,6 +371,33 @@ def _merge(length: int, gram: int):
     return run
 
 
+def _windows(length: int, gram: int):
+    """(key, a, digest): each string of ``length`` bytes that holds one of the asked anchors, by a 128-bit digest."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for text, key, asked in zip(b.column(0), b.column(1), b.column(2)):
+                data = memoryview(text.as_buffer())
+                pos = np.unique(asked.values.to_numpy())
+                reach = pos[:, None] - np.arange(length - gram + 1)
+                start = np.unique(reach[(reach >= 0) & (reach <= len(data) - length)])
+                for k in range(0, len(start), RUN):
+                    part = start[k : k + RUN]
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(part), pa.binary()), pa.array(part), pa.array([hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in part.tolist()], pa.binary())], names=["key", "a", "digest"])
+
+    return run
+
+
+def hot_repeats(texts: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
+    """Spans of strings at anchors of hot grams: no task gathers a gram, each string meets its equals by digest, counted in part before the shuffle."""
+    asked = found.where("b = -3").groupBy("key").agg(F.collect_list("a").alias("asked"))
+    seen = kit.stage(texts.join(asked, "key").select("text", "key", "asked").mapInArrow(_windows(length, gram), "key binary, a long, digest binary").distinct(), "windows")
+    again = seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    return seen.join(again, "digest").select("key", "a", (F.col("a") + length).alias("b"))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Spans (key, a, b) of bytes a to b of the text with that key, covered by strings of ``length`` bytes that also start elsewhere."""
     if not 8 <= gram < length <= 255:
@@ -377,12 +407,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     text = F.col("text").cast("string")
     texts = docs.where(F.octet_length(text) >= length).select(_key(text).alias("key"), text.alias("text"))
     rows = texts.mapInArrow(_report(length, gram, 2 * n), "bucket int, anchors binary, done binary")
-    found = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_grams(length), "key binary, a long, b long")
+    found = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_grams(length, HOT), "key binary, a long, b long")
     found = kit.stage(found, "grams")
-    asked = found.where("b < 0").groupBy("key").agg(F.collect_list(F.col("a") * 2 + F.when(F.col("b") == -2, 1).otherwise(0)).alias("asked"))
+    asked = found.where("b IN (-1, -2)").groupBy("key").agg(F.collect_list(F.col("a") * 2 + F.when(F.col("b") == -2, 1).otherwise(0)).alias("asked"))
     runs = texts.join(asked, "key").select("text", "key", "asked").mapInArrow(_runs(length, gram, _borders(docs, length, gram, n)), "range int, items binary, shared binary, bytes binary")
     more = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_merge(length, gram), "key binary, a long, b long")
-    return found.where("b > 0").union(kit.stage(more, "repeats"))
+    spans = found.where("b > 0").union(kit.stage(more, "repeats"))
+    return spans.union(hot_repeats(texts, found, length, gram)) if found.where("b = -3").head(1) else spans
 
 
 def _borders(docs: DataFrame, length: int, gram: int, n: int) -> list[bytes]:

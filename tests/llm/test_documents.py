@@ -47,7 +47,9 @@ def test_targets_stop_at_twice_the_source():
     assert got["a"] == 20 and got["b"] == 200 and got[None] == pytest.approx(1665 - 220)
 
 
-def test_suffix_dedup_equals_brute_force(docs):
+@pytest.mark.parametrize("hot", [1 << 17, 2])
+def test_suffix_dedup_equals_brute_force(docs, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     seen, rows = Counter(), rows_of(docs)
     data = [(t or "").encode() for _, t, _ in rows]
     for b in data:
