@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from readloom.llm import kit
 
 CAPACITY = 2048
-#: Chunks and words whose ids a worker keeps in each of two generations (memory only; results don't depend on it).
-CHUNKS, WORDS = 60_000, 150_000
+#: Words and odd chunks whose ids a worker keeps in each of two generations (memory only; results don't depend on it).
+WORDS, CHUNKS = 250_000, 10_000
 #: Characters of a text that are split at once.
 PART = 1 << 22
 BREAK = re.compile("[ \t\n\r]+")
@@ -57,13 +57,16 @@ class Cached(dict):
 
 
 class Chunks:
-    """Ids of texts, by white-space delimited chunks. The vocabulary's splitter never joins across a space, tab or line break.
+    """Ids of texts, word by word.
 
-    A chunk of Latin letters and then punctuation is one word and one run of marks for the splitter; its word
-    goes to the merges directly. Every other chunk goes through the whole tokenizer.
+    In a text of printable ASCII and Latin letters without the vocabulary's special tokens, the splitter's pieces are found by its
+    own rule (PIECES) and go to the merges directly. Other texts go through the whole tokenizer by white-space
+    delimited chunks; the splitter never joins across a space, tab or line break.
     """
 
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    ODD = re.compile("[^\\t\\n\\r -~À-ÖØ-öø-ÿ]|<\\|")
+    #: Fixed value: the vocabulary's splitter, for the letters and digits that pass ODD.
+    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -75,9 +78,6 @@ class Chunks:
         return np.asarray([t.id for t in self.tokenizer.model.tokenize("".join([self.letters[b] for b in word.encode()]))], "<u4").tobytes()
 
     def chunk(self, chunk: str) -> bytes:
-        m = self.PLAIN.fullmatch(chunk)
-        if m:
-            return self.words[m[1].lower()] + (self.words[m[2]] if m[2] else b"")
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
@@ -87,7 +87,10 @@ class Chunks:
             cut = BREAK.search(text, at + PART)
             end = cut.start() if cut else len(text)
             part = text[at:end]
-            parts.append(b"".join(map(self.chunks.__getitem__, BREAK.split(part) if "\t" in part or "\r" in part else part.replace("\n", " ").split(" "))))
+            if self.ODD.search(part):
+                parts.append(b"".join(map(self.chunks.__getitem__, BREAK.split(part))))
+            else:
+                parts.append(b"".join(map(self.words.__getitem__, self.PIECES.findall(part.lower()))))
             at = end
         return b"".join(parts)
 
