@@ -134,9 +134,15 @@ def natural_sort(names: Column) -> Column:
 
 
 def kmers(seq: Column, k: int = KMER) -> Column:
-    """All substrings of k letters, by position; empty for shorter sequences."""
-    n = F.length(seq) - k
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(seq, i + 1, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of k letters, by position; empty for shorter sequences.
+
+    Letters of one byte are cut by bytes, since cutting a string by letters counts them from its start each time.
+    """
+    n, data = F.length(seq) - k, seq.cast("binary")
+    at = F.sequence(F.lit(0), n)
+    by_byte = F.transform(at, lambda i: F.substring(data, i + 1, F.lit(k)).cast("string"))
+    by_letter = F.transform(at, lambda i: F.substring(seq, i + 1, F.lit(k)))
+    return F.when(n < 0, F.array().cast("array<string>")).when(F.octet_length(seq) == F.length(seq), by_byte).otherwise(by_letter)
 
 
 def dna_of_text(text: Column) -> Column:
