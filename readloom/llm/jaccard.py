@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -62,9 +62,10 @@ def room(n, percent: int = PERCENT):
 def _report(k: int, buckets: int):
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         roller, sets, tokens, seen = kit.Roller(fold_case=True), [], [], {}
-        size = 0
+        size, part, numbers = 0, TaskContext.get().partitionId(), count()
 
         def flush():
             table = np.array([x for x in sets], _SET)
@@ -74,7 +75,8 @@ def _report(k: int, buckets: int):
             bucket = (t >> np.uint64(48)).astype(np.int64) * buckets >> 16
             order = np.argsort(bucket, kind="stable")
             t, idx, cut = t[order], idx[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            flush_id = int.from_bytes(hashlib.blake2b(table.tobytes() + t[:64].tobytes(), digest_size=7).digest(), "big")
+            # partition and number tell flushes of equal content apart; a retry gives the same name
+            flush_id = int.from_bytes(hashlib.blake2b(f"{part} {next(numbers)} ".encode() + table.tobytes(), digest_size=7).digest(), "big")
             where = flush_id % buckets
             nodes = np.array(list(seen), "V16")
             low = t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]

@@ -107,6 +107,22 @@ def test_jaccard_components_equal_brute_force(docs):
     assert as_tuples(got, *got.columns) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("times", [2, 3])
+def test_jaccard_keeps_flushes_of_equal_content_apart(spark, times, tmp_path):
+    rng = np.random.default_rng(2)
+    texts, apart = [], (16, 25, 35, 45)  # changed words at an end, of 105: two sets at Jaccard 0.73, 0.61, 0.49 and 0.39
+    for n in apart:
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 105)]
+        texts += [" ".join(words), " ".join(words[:-n] + [f"v{x}" for x in rng.integers(0, 10**9, n)])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "one"))
+    docs = one = spark.read.parquet(str(tmp_path / "one"))
+    for _ in range(times - 1):
+        docs = docs.union(one)
+    assert docs.rdd.getNumPartitions() == times
+    got = jaccard.cluster(docs, keep=["doc_id"]).select("row.doc_id", "n_shingles", "component_id")
+    assert as_tuples(got, *got.columns) == sorted([(d, 101, d) for d in range(len(texts))] * times, key=repr)
+
+
 @pytest.mark.parametrize("boundary", [0, 12, 10**6])
 def test_join_block_loses_no_component_at_any_boundary(boundary):
     rng = np.random.default_rng(boundary)
