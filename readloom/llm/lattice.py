@@ -21,8 +21,8 @@ COSINE = 0.93
 TABLES, PROBES, SCALE, SEED = 5, 4, 2.6, 17
 #: Vectors of a cell that one task compares with as many others.
 BLOCK = 2048
-#: Rows compared at once.
-CHUNK = 1 << 15
+#: Rows of up to 64 components compared at once, fewer if they are longer; components that a task turns into units at once.
+CHUNK, PIECE = 1 << 15, 1 << 21
 
 
 def neighbours() -> np.ndarray:
@@ -68,7 +68,7 @@ def cells(unit: np.ndarray, salt: np.ndarray, tables: int = TABLES, probes: int
 
 
 def _units(col) -> np.ndarray:
-    x = col.values.to_numpy().astype(float).reshape(len(col), -1)
+    x = col.flatten().to_numpy().astype(float).reshape(len(col), -1)
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -78,7 +78,8 @@ def _by_width(batch, col: int):
 
     width = pc.list_value_length(batch.column(col)).to_numpy()
     for w in np.unique(width):
-        yield batch.take(np.flatnonzero(width == w)) if len(np.unique(width)) > 1 else batch
+        part, rows = batch.take(np.flatnonzero(width == w)) if len(np.unique(width)) > 1 else batch, max(1, PIECE // int(w))
+        yield from (part.slice(lo, rows) for lo in range(0, len(part), rows))
 
 
 def _cells(tables: int, probes: int, scale: float):
@@ -88,7 +89,8 @@ def _cells(tables: int, probes: int, scale: float):
         for batch in batches:
             for b in _by_width(batch, 2) if len(batch) else ():
                 x = _units(b.column(2))
-                found = cells(x, b.column(1).to_numpy().astype(np.int64) * 4096 + x.shape[1], tables, probes, scale)
+                label = kit.mix(b.column(1).to_numpy().astype(np.int64).view(np.uint64) + np.uint64(1))
+                found = cells(x, kit.mix(label + np.uint64(x.shape[1]) * np.uint64(0x9E3779B97F4A7C15)), tables, probes, scale)
                 flat = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["node", "cells"])
 
@@ -109,12 +111,12 @@ def _compare(cosine: float, tables: int, probes: int):
             table = (own == cell[:, None]).argmax(1) // per
             n = len(group)
             count, root = np.zeros(n, np.int64), np.arange(n)
-            at, lag = np.arange(n - 1), 1
+            at, lag, chunk = np.arange(n - 1), 1, max(1, CHUNK * 64 // max(64, x.shape[1]))
             while len(at):
                 at = at[at + lag < n]
                 at = at[group[at] == group[at + lag]]
-                for lo in range(0, len(at), CHUNK):
-                    a = at[lo : lo + CHUNK]
+                for lo in range(0, len(at), chunk):
+                    a = at[lo : lo + chunk]
                     b = a + lag
                     ok = ~(cross[a] & (side[a] == side[b]))
                     a, b = a[ok], b[ok]
@@ -146,7 +148,7 @@ def _compare(cosine: float, tables: int, probes: int):
 
         def table_of(b):
             get = lambda k: b.column(k).to_numpy()
-            return {"cell": get(0), "i": get(1), "j": get(2), "block": get(3), "node": get(4), "weight": get(5), "cells": b.column(6).values.to_numpy().reshape(len(b), -1), "x": _units(b.column(7))}
+            return {"cell": get(0), "i": get(1), "j": get(2), "block": get(3), "node": get(4), "weight": get(5), "cells": b.column(6).flatten().to_numpy().reshape(len(b), -1), "x": _units(b.column(7))}
 
         held = None
         for batch in batches:
@@ -178,7 +180,7 @@ def near(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probe
     spark = vectors.sparkSession
     n = kit.n_parts(spark)
     e = F.col("embedding").cast("array<double>")
-    sound = F.size(e).between(1, 4095) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
+    sound = (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), e.alias("e"), F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)).alias("sound"))
     rows = rows.select("vec_id", "label", "e", "sound", F.when(F.col("sound"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("e").cast("array<string>")), 256)).alias("same"))
     nodes = rows.where("sound").groupBy("same").agg(F.min("vec_id").alias("name"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("e").alias("e"))

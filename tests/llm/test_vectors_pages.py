@@ -72,6 +72,15 @@ def test_hot_cells_go_in_blocks(vectors, monkeypatch):
     assert as_tuples(lattice.near(vectors), "vec_id", "n_links", "component_id", "kept") == whole
 
 
+def test_long_vectors_link_too(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=5000)
+    near = v + rng.normal(size=5000) * 0.01
+    rows = [(1, v.tolist(), 0), (2, v.tolist(), 0), (3, near.tolist(), 0), (4, near.tolist(), 1), (5, v[:4096].tolist(), 0), (6, near[:4096].tolist(), 0), (7, rng.normal(size=5000).tolist(), 0)]
+    got = as_tuples(lattice.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id", "n_links", "component_id", "kept")
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
+
+
 def test_top_k_equals_brute_force(vectors):
     rows = [(r["vec_id"], [math.floor(256 * float(x)) for x in r["embedding"]]) for r in vectors.collect() if sound(r["embedding"]) and r["vec_id"] is not None]
     want = []
