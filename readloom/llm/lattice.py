@@ -150,21 +150,25 @@ def _compare(cosine: float, tables: int, probes: int):
             get = lambda k: b.column(k).to_numpy()
             return {"cell": get(0), "i": get(1), "j": get(2), "block": get(3), "node": get(4), "weight": get(5), "cells": b.column(6).flatten().to_numpy().reshape(len(b), -1), "x": _units(b.column(7))}
 
-        held = None
+        held = {}  # by width: rows of the last cell, which may go on in the next batch
         for batch in batches:
-            for b in _by_width(batch, 7) if len(batch) else ():
+            if not len(batch):
+                continue
+            for b in _by_width(batch, 7):
                 new = table_of(b)
-                if held is not None and held["x"].shape[1] != new["x"].shape[1]:
-                    yield settle(held)
-                    held = None
-                held = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in new}
-                change = np.flatnonzero((np.diff(held["cell"]) != 0) | (np.diff(held["i"]) != 0) | (np.diff(held["j"]) != 0))
-                if len(change):
-                    cut = change[-1] + 1
-                    yield settle({k: v[:cut] for k, v in held.items()})
-                    held = {k: v[cut:] for k, v in held.items()}
-        if held is not None:
-            yield settle(held)
+                w = new["x"].shape[1]
+                if w in held:
+                    new = {k: np.concatenate([held[w][k], new[k]]) for k in new}
+                change = np.flatnonzero((np.diff(new["cell"]) != 0) | (np.diff(new["i"]) != 0) | (np.diff(new["j"]) != 0))
+                cut = change[-1] + 1 if len(change) else 0
+                if cut:
+                    yield settle({k: v[:cut] for k, v in new.items()})
+                held[w] = {k: v[cut:] for k, v in new.items()}
+            end = tuple(batch.column(k)[len(batch) - 1].as_py() for k in range(3))
+            for w in [w for w, x in held.items() if (x["cell"][-1], x["i"][-1], x["j"][-1]) != end]:
+                yield settle(held.pop(w))
+        for x in held.values():
+            yield settle(x)
 
     return run
 

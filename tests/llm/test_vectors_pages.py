@@ -6,6 +6,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from readloom.llm import lattice, topk, urls, warc
@@ -81,6 +82,19 @@ def test_long_vectors_link_too(spark):
     assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
 
 
+def test_cells_go_on_over_batches_of_mixed_lengths():
+    rng = np.random.default_rng(9)
+    rows = []
+    for cell, w in ((1, 16), (2, 8), (3, 16), (4, 8), (5, 8), (6, 16)):
+        v = rng.normal(size=w)
+        rows += [(cell, 0, 0, 0, 10 * cell + k, 1, [cell] * lattice.TABLES * (1 + lattice.PROBES), v.tolist()) for k in range(5)]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    whole = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(8)], names=["cell", "i", "j", "block", "node", "weight", "cells", "e"])
+    for size in (3, 7, 8, 30):
+        found = lattice._compare(0.93, lattice.TABLES, lattice.PROBES)(whole.slice(k, size) for k in range(0, len(rows), size))
+        assert sorted(tuple(x.values()) for b in found for x in b.to_pylist()) == [(r[4], 4, r[4] // 10 * 10) for r in rows]
+
+
 def test_top_k_equals_brute_force(vectors):
     rows = [(r["vec_id"], [math.floor(256 * float(x)) for x in r["embedding"]]) for r in vectors.collect() if sound(r["embedding"]) and r["vec_id"] is not None]
     want = []
