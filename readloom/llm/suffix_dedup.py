@@ -416,6 +416,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     return spans.union(hot_repeats(texts, found, length, gram)) if found.where("b = -3").head(1) else spans
 
 
+def spans_by_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(key, spans): the distinct spans of each text. Its copies report the same ones, so a list grows with the text and not with the copies."""
+    return repeats(docs, length).distinct().groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
 def _borders(docs: DataFrame, length: int, gram: int, n: int) -> list[bytes]:
     """Borders of the ranges from a bounded sample of texts."""
     total = docs.count()
@@ -443,7 +448,7 @@ def strip(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
     strings are judged on the input; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spans = repeats(docs, length).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = spans_by_text(docs, length)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("row"), text.alias("text"), _key(text).alias("key"))
     both = rows.join(spans, "key", "left").select(
         "row", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("spans").isNull(), F.sha2("text", 256)).alias("sha"), F.when(F.col("spans").isNotNull(), F.col("text")).alias("text"), "spans"

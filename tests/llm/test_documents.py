@@ -66,6 +66,14 @@ def test_suffix_dedup_equals_brute_force(docs, monkeypatch, hot):
     assert as_tuples(got, *got.columns) == sorted(want, key=repr)
 
 
+def test_span_lists_grow_with_the_text_and_not_with_its_copies(spark):
+    text = " ".join(f"w{x}" for x in np.random.default_rng(7).integers(0, 10**9, 200))
+    docs = spark.createDataFrame([(k, text) for k in range(40)], "doc_id long, text string").repartition(4)
+    ((n, distinct),) = suffix_dedup.spans_by_text(docs).selectExpr("size(spans)", "size(array_distinct(spans))").collect()
+    assert n == distinct <= len(text)
+    assert {tuple(r) for r in suffix_dedup.strip(docs, keep=["doc_id"]).select("n_removed", "n_spans").collect()} == {(len(text), 1)}
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     rng = np.random.default_rng(3)
     runs, everything = [], []
