@@ -76,20 +76,24 @@ def _table(values: list[int]) -> Column:
 def maxinfo(quality: Column, target: int, strictness: float) -> Column:
     """How many bases to keep: the last position at which length score plus summed quality score is greatest; 0 without qualities or at a best score of 0.
 
-    Sums saturate in double precision far from the decision, so they are kept as decimals.
+    Scores are 64-bit numbers and their sums aren't: each is added in two halves of 32 bits, which is exact for any read
+    (a sum of 2^31 lower halves fits in a long), and sums are compared as (upper, lower, position).
     """
     by_length, by_quality = trim_tables(target, strictness)
-    wide = "decimal(38,0)"
-    lengths, qualities = _table(by_length), _table(by_quality)
-    start = F.struct(F.lit(0).cast(wide).alias("sum"), F.lit(None).cast(wide).alias("best"), F.lit(0).alias("at"), F.lit(0).alias("i"))
+    halves = lambda t: (_table([v >> 32 for v in t]), _table([v & 0xFFFFFFFF for v in t]))
+    (length_up, length_low), (quality_up, quality_low) = halves(by_length), halves(by_quality)
+    none = F.lit(0).cast("bigint")
+    best = F.lit(None).cast("struct<up:bigint,low:bigint,at:int>")
+    start = F.struct(none.alias("up"), none.alias("low"), F.lit(0).alias("i"), best.alias("best"))
 
     def step(s: Column, q: Column) -> Column:
-        total = (s["sum"] + F.get(qualities, F.greatest(F.lit(0), F.least(q, F.lit(TOP_QUALITY))).cast("int")).cast(wide)).cast(wide)
-        score = (total + F.coalesce(F.get(lengths, s["i"]), F.lit(0)).cast(wide)).cast(wide)
-        better = s["best"].isNull() | (score >= s["best"])
-        return F.struct(total.alias("sum"), F.when(better, score).otherwise(s["best"]).alias("best"), F.when(better, s["i"] + 1).otherwise(s["at"]).alias("at"), (s["i"] + 1).alias("i"))
+        at = F.greatest(F.lit(0), F.least(q, F.lit(TOP_QUALITY))).cast("int")
+        up, low = s["up"] + F.get(quality_up, at), s["low"] + F.get(quality_low, at)
+        with_length = low + F.coalesce(F.get(length_low, s["i"]), none)
+        score = F.struct((up + F.coalesce(F.get(length_up, s["i"]), none) + F.shiftright(with_length, 32)).alias("up"), with_length.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), (s["i"] + 1).alias("at"))
+        return F.struct(up.alias("up"), low.alias("low"), (s["i"] + 1).alias("i"), F.greatest(s["best"], score).alias("best"))
 
-    return F.aggregate(quality, start, step, lambda s: F.when(s["best"] == 0, 0).otherwise(s["at"]))
+    return F.aggregate(quality, start, step, lambda s: F.when(s["best"].isNull() | ((s["best"]["up"] == 0) & (s["best"]["low"] == 0)), 0).otherwise(s["best"]["at"]))
 
 
 def trimmed(seq: Column, quality: Column, target: int, strictness: float) -> Column:

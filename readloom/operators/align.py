@@ -31,8 +31,10 @@ def sized(index: DataFrame, library: DataFrame) -> DataFrame:
 
 def places(library: DataFrame, k: int = seq.KMER) -> DataFrame:
     """(kmer, ref_idx, at) for every k-mer of A, C, G and T of an expanded library."""
-    rows = library.select("ref_idx", F.posexplode(seq.kmers(F.upper("sequence"), k)).alias("at", "kmer"))
-    return rows.where(F.col("kmer").rlike("^[ACGT]+$")).select("kmer", "ref_idx", "at")
+    found = F.transform(seq.kmers(F.upper("sequence"), k), lambda x, i: F.struct(x.alias("kmer"), i.alias("at")))
+    # filtered inside the array: a filter on the column would be inferred for every k-mer of the reads too
+    rows = library.select("ref_idx", F.explode(F.filter(found, lambda x: x["kmer"].rlike("^[ACGT]+$"))).alias("x"))
+    return rows.select("x.kmer", "ref_idx", "x.at")
 
 
 def kmer_index(library: DataFrame, k: int = seq.KMER) -> DataFrame:
@@ -41,18 +43,18 @@ def kmer_index(library: DataFrame, k: int = seq.KMER) -> DataFrame:
 
 
 def hits(reads: DataFrame, index: DataFrame, k: int = seq.KMER) -> DataFrame:
-    """(read_id, seq, at, colour, places) for each read position whose k-mer is in the index."""
-    rows = reads.select("read_id", "seq", F.posexplode(seq.kmers(F.col("seq"), k)).alias("at", "kmer"))
-    return rows.join(index, "kmer").select("read_id", "seq", "at", "colour", "places")
+    """(read_id, at, colour, places) for each read position whose k-mer is in the index; the read itself stays behind."""
+    rows = reads.select("read_id", F.posexplode(seq.kmers(F.col("seq"), k)).alias("at", "kmer"))
+    return rows.join(index, "kmer").select("read_id", "at", "colour", "places")
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """(read_id, seq, cls, diagonals) from hits: the rows common to all of a read's hits and the diagonals they lie on."""
+    """(read_id, cls, diagonals) from hits: the rows common to all of a read's hits and the diagonals they lie on."""
     diagonals = F.transform("places", lambda p: F.struct(p["ref_idx"].alias("ref_idx"), (F.col("at") - p["at"]).alias("diagonal")))
-    rows = found.groupBy("read_id").agg(F.first("seq").alias("seq"), F.collect_set("colour").alias("colours"), F.collect_set(diagonals).alias("d"))
+    rows = found.groupBy("read_id").agg(F.collect_set("colour").alias("colours"), F.collect_set(diagonals).alias("d"))
     common = F.aggregate("colours", F.col("colours")[0], lambda a, b: F.array_intersect(a, b))
     rows = rows.withColumn("cls", F.array_sort(common))
-    return rows.select("read_id", "seq", "cls", F.filter(F.array_distinct(F.flatten("d")), lambda x: F.array_contains(F.col("cls"), x["ref_idx"])).alias("diagonals"))
+    return rows.select("read_id", "cls", F.filter(F.array_distinct(F.flatten("d")), lambda x: F.array_contains(F.col("cls"), x["ref_idx"])).alias("diagonals"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -61,21 +63,32 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def compare(found: DataFrame, library: DataFrame) -> DataFrame:
-    """(read_id, cls, score, mismatches): the best diagonal of a class; an empty class scores 0."""
-    pairs = found.select("read_id", "seq", F.explode("diagonals").alias("x")).select("read_id", "seq", "x.ref_idx", "x.diagonal")
-    rows = pairs.join(library.select("ref_idx", F.upper("sequence").alias("sequence")), "ref_idx")
+    """(read_id, cls, score, mismatches) from (read_id, seq, cls, diagonals): the best diagonal of a class; an empty class scores 0."""
+    pairs = found.select("read_id", "seq", "cls", F.explode_outer("diagonals").alias("x")).select("read_id", "seq", "cls", "x.ref_idx", "x.diagonal")
+    rows = pairs.join(library.select("ref_idx", F.upper("sequence").alias("sequence")), "ref_idx", "left")
     start = F.greatest(F.col("diagonal"), F.lit(0))
     n = F.least(F.length("seq"), F.length("sequence") + F.col("diagonal")) - start
     differ = hamming(F.substring(F.col("seq"), start + 1, n), F.substring(F.col("sequence"), start - F.col("diagonal") + 1, n))
-    best = rows.select("read_id", F.struct(differ.alias("mismatches"), (-n).alias("n")).alias("x")).groupBy("read_id").agg(F.min("x").alias("x"))
-    out = found.select("read_id", "cls").join(best, "read_id", "left")
-    return out.select("read_id", "cls", F.coalesce(-F.col("x.n"), F.lit(0)).alias("score"), F.coalesce(F.col("x.mismatches"), F.lit(0)).alias("mismatches"))
+    best = F.min(F.when(F.col("ref_idx").isNotNull(), F.struct(differ.alias("mismatches"), (-n).alias("n"))))
+    rows = rows.groupBy("read_id").agg(F.first("cls").alias("cls"), best.alias("x"))
+    return rows.select("read_id", "cls", F.coalesce(-F.col("x.n"), F.lit(0)).alias("score"), F.coalesce(F.col("x.mismatches"), F.lit(0)).alias("mismatches"))
 
 
 def pseudoalign(reads: DataFrame, library: DataFrame, k: int = seq.KMER) -> DataFrame:
-    """Align (read_id, seq) reads to an expanded library; reads without a hit have no row."""
-    reads = reads.select("read_id", F.upper("seq").alias("seq"))
-    return compare(classes(hits(reads, sized(kmer_index(library, k), library), k)), library)
+    """Align (read_id, seq) reads to an expanded library; reads without a sequence or a hit have no row.
+
+    Reads are dealt out by read_id once; hits, classes and comparisons stay on that partitioning. Only ids travel
+    with the k-mers: a read's letters come back for those that have a class.
+    """
+    reads = reads.select("read_id", F.upper("seq").alias("seq")).repartition("read_id")
+    found = classes(hits(reads, sized(kmer_index(library, k), library), k))
+    return compare(reads.join(found, "read_id"), library)
+
+
+def fitting(sequence: Column, also: Column | None = None) -> Column:
+    """The sequence if it is long and varied enough to be aligned, else null. As a column and not as a filter, so that it is made once."""
+    fit = (F.length(sequence) >= seq.MIN_READ) & (seq.entropy(sequence) >= seq.MIN_ENTROPY)
+    return F.when(fit if also is None else also & fit, sequence)
 
 
 def reason(cfg: Config, sequence: Column, skip: Column | None = None) -> Column:
@@ -101,7 +114,7 @@ def align_reads(reads: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:
     """
     skip = F.coalesce(F.col("skip"), F.lit(False)) if "skip" in reads.columns else F.lit(False)
     reads = reads.select("read_id", F.upper("seq").alias("seq"), skip.alias("skip"))
-    fit = reads.where(~F.col("skip") & (F.length("seq") >= seq.MIN_READ) & (seq.entropy(F.col("seq")) >= seq.MIN_ENTROPY))
-    rows = reads.join(pseudoalign(fit.select("read_id", "seq"), library), "read_id", "left")
+    fit = reads.select("read_id", fitting(F.col("seq"), ~F.col("skip")).alias("seq"))
+    rows = reads.join(pseudoalign(fit, library), "read_id", "left")
     rows = rows.select("read_id", reason(cfg, F.col("seq"), F.col("skip")).alias("reason"), F.coalesce(seq.norm_score(F.col("score"), F.col("seq")), F.lit(0.0)).alias("norm"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("mismatches", F.lit(0)).alias("mismatches"), "cls")
     return rows.withColumn("cls", F.when(F.col("reason") == MATCH, F.col("cls")))

@@ -41,9 +41,10 @@ def trace(pairs: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:
     flat = both.select("pair_id", F.explode(F.array(F.struct(F.lit(1).alias("mate"), F.col("r1.cls").alias("cls")), F.struct(F.lit(2).alias("mate"), F.col("r2.cls").alias("cls")))).alias("x")).select("pair_id", "x.mate", "x.cls")
     calls = orient.calls_of(flat, library)
     kept = orient.settled(orient.states(calls, "grp")).where(orient.keeps(cfg.chemistry))
-    called = calls.select("pair_id").distinct()
-    sets = called.join(orient.coerce(kept, cfg.intersect_level, "grp"), "pair_id", "left").select("pair_id", F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.coalesce("failed", F.lit(cfg.intersect_level == 2)).alias("failed"))
-    return both.join(orient.triage(sets, cfg), "pair_id", "left")
+    full = both.join(orient.coerce(kept, cfg.intersect_level, "grp"), "pair_id", "left")
+    called = (F.coalesce(F.size("r1.cls"), F.lit(0)) > 0) | (F.coalesce(F.size("r2.cls"), F.lit(0)) > 0)
+    features, why = orient.verdict(F.coalesce("names", F.array().cast("array<string>")), F.coalesce("failed", F.lit(cfg.intersect_level == 2)), cfg)
+    return full.select("pair_id", "r1", "r2", F.when(called, features).alias("features"), F.when(called, why).alias("triage"))
 
 
 def feature_counts(pairs: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:

@@ -60,12 +60,18 @@ def coerce(kept: DataFrame, level: int, name: str = "feature") -> DataFrame:
     return rows.select("pair_id", names.alias("names"), ((F.col("common") == 0) & F.lit(level == FORCE)).alias("failed"))
 
 
+def verdict(names: Column, failed: Column, cfg: Config) -> tuple[Column, Column]:
+    """Features and triage reason of a pair: lists longer than discard_multi_hits are emptied, then too many or no features drop the pair."""
+    if cfg.discard_multi_hits:
+        names = F.when(F.size(names) > cfg.discard_multi_hits, F.array().cast("array<string>")).otherwise(names)
+    why = F.when(failed, FORCE_FAILED).when(F.size(names) > cfg.max_hits_to_report, MAX_HITS).when(F.size(names) == 0, EMPTY).otherwise(MATCH)
+    return seq.natural_sort(names), why
+
+
 def triage(sets: DataFrame, cfg: Config) -> DataFrame:
-    """(pair_id, features, triage): lists longer than discard_multi_hits are emptied, then too many or no features drop the pair."""
-    names = F.when(F.size("names") > cfg.discard_multi_hits, F.array().cast("array<string>")).otherwise(F.col("names")) if cfg.discard_multi_hits else F.col("names")
-    rows = sets.select("pair_id", "failed", seq.natural_sort(names).alias("features"))
-    why = F.when(F.col("failed"), FORCE_FAILED).when(F.size("features") > cfg.max_hits_to_report, MAX_HITS).when(F.size("features") == 0, EMPTY).otherwise(MATCH)
-    return rows.select("pair_id", "features", why.alias("triage"))
+    """(pair_id, features, triage) from (pair_id, names, failed)."""
+    features, why = verdict(F.col("names"), F.col("failed"), cfg)
+    return sets.select("pair_id", features.alias("features"), why.alias("triage"))
 
 
 def calls_of(aligned: DataFrame, library: DataFrame) -> DataFrame:

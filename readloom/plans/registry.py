@@ -123,12 +123,12 @@ _TRIM = (
 
 @query("maxinfo", _D.rstrip() + _TRIM + "SELECT d.doc_id, CASE WHEN b.best IS NULL OR b.best = 0 THEN 0 ELSE cut END AS keep FROM d LEFT JOIN b USING (doc_id)")
 def _(spark, sf_dir):
-    return dna(spark, sf_dir).select("doc_id", seq.maxinfo(quality(), 40, 0.9).alias("keep"))
+    return dna(spark, sf_dir).repartition("doc_id").select("doc_id", seq.maxinfo(quality(), 40, 0.9).alias("keep"))
 
 
 @query("trim_reads", _D.rstrip() + _TRIM + "SELECT d.doc_id, substr(d.dna, 1, CASE WHEN b.best IS NULL OR b.best = 0 THEN 0 ELSE cut END) AS seq FROM d LEFT JOIN b USING (doc_id)")
 def _(spark, sf_dir):
-    return dna(spark, sf_dir).select("doc_id", seq.trimmed(F.col("dna"), quality(), 40, 0.9).alias("seq"))
+    return dna(spark, sf_dir).repartition("doc_id").select("doc_id", seq.trimmed(F.col("dna"), quality(), 40, 0.9).alias("seq"))
 
 
 @query("norm_score", _D + "SELECT doc_id, CASE WHEN length(dna) > 0 THEN round(n_chars / length(dna)::DOUBLE, 6) ELSE 0 END AS norm FROM d JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id)")
@@ -233,8 +233,7 @@ _READS = "SELECT doc_id AS read_id, dna AS seq FROM d"
 
 @query("pseudoalign", _D.rstrip() + ", " + _LIB.rstrip() + ", " + align_sql(_READS) + "SELECT read_id, array_to_string(cls, ',') AS cls, score, mismatches FROM al")
 def _(spark, sf_dir):
-    reads = dna(spark, sf_dir).select(F.col("doc_id").alias("read_id"), F.col("dna").alias("seq"))
-    fit = reads.where((F.length("seq") >= seq.MIN_READ) & (seq.entropy(F.col("seq")) >= seq.MIN_ENTROPY))
+    fit = dna(spark, sf_dir).select(F.col("doc_id").alias("read_id"), align.fitting(F.col("dna")).alias("seq"))
     return align.pseudoalign(fit, lib(spark, sf_dir)).select("read_id", F.array_join(F.col("cls").cast("array<string>"), ",").alias("cls"), F.col("score").cast("long").alias("score"), F.col("mismatches").cast("long").alias("mismatches"))
 
 
