@@ -1,8 +1,9 @@
 """N-gram Jaccard join: a size-aware heavy-light self-join of shingle sets, by link components.
 
-1. *Sets.* Each task hashes the distinct word shingles of its whole texts (64 bits; sets travel as 48 bits beside the
-   bucket's) and sends them to buckets. Equal sets of a task travel once.
-2. *Counts.* A bucket counts in how many sets each shingle occurs and returns those in two or more. A set can link
+1. *Sets.* Each task hashes the distinct word shingles of its whole texts (64 bits; they travel as 48 bits beside the
+   bucket's) and sends them to buckets, each with the number of its sets that hold it, so a common shingle is one entry of
+   a task. Which sets hold it goes past the buckets. Equal sets of a task travel once.
+2. *Counts.* A bucket adds up in how many sets each shingle occurs and returns those in two or more. A set can link
    only if three quarters of its shingles came back; nothing else goes on. Shingles are ordered from rare to common.
 3. *Candidates.* Sets up to a boundary size are light: fixed-size subsets (pairs) of their first shingles are
    enumerated, and two sets that link share one. Larger sets are heavy: the inverted lists of their first shingles are scanned.
@@ -32,8 +33,10 @@ SUBSET = 2
 FLUSH, BLOCK = 1 << 20, 1 << 20
 #: Cost of meeting one entry of an inverted list, in signatures (each of those is shuffled, sorted and grouped).
 ENTRY = 0.02
-#: Sets that a task holds; with those of a piece of text still to come, fewer than 2**16.
-FLUSH_SETS = 20_000
+#: Sets that a task holds; with those of a piece of text still to come, fewer than AGAIN.
+FLUSH_SETS = 16_000
+#: Marks a set's number that belongs to the same shingle as the one before it.
+AGAIN = 1 << 15
 
 _SET = np.dtype([("key", "V12"), ("sig", "V16"), ("n", "<u4")])
 
@@ -59,9 +62,29 @@ def room(n, percent: int = PERCENT):
     return n - -(-percent * n // 100)
 
 
+def _batch(rows: list, schema: str):
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    cols = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(cols)], names=[n for n, _ in cols])
+
+
+#: A flush sends its buckets the shingles and in how many of its sets each is; its own row holds, per shingle, those sets' numbers
+#: (AGAIN marks further ones), the borders of the buckets, and its distinct sets, their sizes and its documents.
+_REPORT = "bucket int, flush long, tokens binary, held binary, holders binary, cut binary, nodes binary, sizes binary, sets binary"
+#: A bucket's answer to a flush: a bit for each shingle it sent, and the shingles that came back with their counts; own rows pass.
+_BACK = "bucket int, flush long, tokens binary, df binary, alive binary, holders binary, cut binary, nodes binary, sizes binary, sets binary"
+
+
+def _wide(tokens: bytes) -> np.ndarray:
+    t = np.zeros((len(tokens) // 6, 8), np.uint8)
+    t[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
+    return t.view("<u8").ravel()
+
+
 def _report(k: int, buckets: int):
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
         roller, sets, tokens, seen = kit.Roller(fold_case=True), [], [], {}
@@ -71,23 +94,21 @@ def _report(k: int, buckets: int):
             table = np.array([x for x in sets], _SET)
             t = np.concatenate([np.zeros(0, np.uint64), *tokens])
             sizes = np.array([len(x) for x in tokens], "<u4")
-            idx = np.repeat(np.arange(len(tokens)), sizes).astype("<u2")
-            bucket = (t >> np.uint64(48)).astype(np.int64) * buckets >> 16
-            order = np.argsort(bucket, kind="stable")
-            t, idx, cut = t[order], idx[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            order = np.argsort(t, kind="stable")
+            t, holders = t[order], np.repeat(np.arange(len(tokens)), sizes)[order]
+            new = np.append(True, t[1:] != t[:-1])[: len(t)]
+            first = np.flatnonzero(new)
+            held = np.diff(np.append(first, len(t))).astype("<u2")
+            t = t[first]
+            cut = np.searchsorted((t >> np.uint64(48)).astype(np.int64) * buckets >> 16, np.arange(buckets + 1))
             # partition and number tell flushes of equal content apart; a retry gives the same name
             flush_id = int.from_bytes(hashlib.blake2b(f"{part} {next(numbers)} ".encode() + table.tobytes(), digest_size=7).digest(), "big")
-            where = flush_id % buckets
-            nodes = np.array(list(seen), "V16")
             low = t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            out = []
-            for b in range(buckets):
-                lo, hi = cut[b], cut[b + 1]
-                if lo < hi or b == where:
-                    out.append((b, flush_id, low[lo:hi].tobytes(), idx[lo:hi].tobytes(), nodes.tobytes() if b == where else None, sizes.tobytes() if b == where else None, table.tobytes() if b == where else None))
+            out = [(b, flush_id, low[cut[b] : cut[b + 1]].tobytes(), held[cut[b] : cut[b + 1]].tobytes(), *[None] * 5) for b in range(buckets) if cut[b] < cut[b + 1]]
+            own = (holders | np.where(new, 0, AGAIN)).astype("<u2"), cut.astype("<u4"), np.array(list(seen), "V16"), sizes, table
+            out.append((flush_id % buckets, flush_id, None, None, *[x.tobytes() for x in own]))
             sets.clear(), tokens.clear(), seen.clear()
-            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kinds[c]) for c in range(7)], names=["bucket", "flush", "tokens", "idx", "nodes", "sizes", "sets"])
+            return _batch(out, _REPORT)
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
@@ -111,38 +132,28 @@ def _report(k: int, buckets: int):
     return run
 
 
-_REPORT = "bucket int, flush long, tokens binary, idx binary, nodes binary, sizes binary, sets binary"
-_BACK = "bucket int, flush long, tokens binary, idx binary, df binary, nodes binary, sizes binary, sets binary"
-
-
 def _count(batches):
     """Per bucket: the shingles that are in two sets or more, with their counts, back to their flush."""
-    import pyarrow as pa
 
     def settle(bucket, rows):
-        low, idx, flush, out = [], [], [], []
-        for f, (_, tokens, i, *_) in enumerate(rows):
-            t = np.zeros((len(tokens) // 6, 8), np.uint8)
-            t[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
-            low.append(t.view("<u8").ravel())
-            idx.append(np.frombuffer(i, "<u2").astype("<u4"))
-            flush.append(np.full(len(t), f, np.int32))
-        low, idx, flush = np.concatenate(low), np.concatenate(idx), np.concatenate(flush)
-        _, back, n = np.unique(low, return_inverse=True, return_counts=True)
-        n = n[back]
-        keep = n > 1
-        low, idx, flush, n = low[keep], idx[keep], flush[keep], n[keep]
-        cut = np.searchsorted(flush, np.arange(len(rows) + 1))
-        for f, r in enumerate(rows):
-            lo, hi = cut[f], cut[f + 1]
-            if lo < hi or r[3] is not None:
-                out.append((bucket, r[0], low[lo:hi].astype("<u8").tobytes(), idx[lo:hi].tobytes(), n[lo:hi].astype("<u4").tobytes(), *r[3:]))
-        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
-        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kinds[c]) for c in range(8)], names=[c.split()[0] for c in _BACK.split(", ")])
+        sent = [r for r in rows if r[1] is not None]
+        yield _batch([(bucket, r[0], None, None, None, *r[3:]) for r in rows if r[1] is None], _BACK)
+        if not sent:
+            return
+        t = np.concatenate([_wide(r[1]) for r in sent])
+        _, back = np.unique(t, return_inverse=True)
+        n = np.bincount(back, np.concatenate([np.frombuffer(r[2], "<u2") for r in sent])).astype("<u4")[back]
+        low, cut = t.view(np.uint8).reshape(-1, 8)[:, :6], np.cumsum([0] + [len(r[2]) // 2 for r in sent])
+        out = []
+        for r, lo, hi in zip(sent, cut, cut[1:]):
+            alive = n[lo:hi] > 1
+            if alive.any():
+                out.append((bucket, r[0], low[lo:hi][alive].tobytes(), n[lo:hi][alive].tobytes(), np.packbits(alive).tobytes(), *[None] * 5))
+        yield _batch(out, _BACK)
 
     now, rows = None, []
     for b in batches:
-        for k, *x in zip(*(b.column(c).to_pylist() for c in range(7))):
+        for k, *x in zip(*(b.column(c).to_pylist() for c in range(9))):
             if k != now and rows:
                 yield from settle(now, rows)
                 rows = []
@@ -158,33 +169,41 @@ def _survivors(percent: int):
     def run(batches):
         import pyarrow as pa
 
-        def settle(parts, bits):
-            own = next(p for p in parts if p[3] is not None)
-            nodes, sizes = np.frombuffer(own[3], "V16"), np.frombuffer(own[4], "<u4")
-            t = np.concatenate([np.frombuffer(p[0], "<u8") ^ (np.uint64(b) << np.uint64(48)) for p, b in zip(parts, bits)])
-            idx = np.concatenate([np.frombuffer(p[1], "<u4") for p in parts])
-            df = np.concatenate([np.frombuffer(p[2], "<u4") for p in parts])
+        def settle(parts):
+            (own,) = [p for p in parts if p[1] is None]  # a flush has one row of its own
+            holders, cut, nodes, sizes = (np.frombuffer(x, t) for x, t in zip(own[4:8], ("<u2", "<u4", "V16", "<u4")))
+            alive, t, df = np.zeros(cut[-1], bool), np.zeros(cut[-1], np.uint64), np.zeros(cut[-1], np.int64)
+            for bucket, tokens, n, bits, *_ in parts:
+                if tokens is not None:
+                    lo, hi = cut[bucket], cut[bucket + 1]
+                    at = lo + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=int(hi - lo)))
+                    # the high bits only tell buckets apart: any that do so will serve
+                    alive[at], t[at], df[at] = True, _wide(tokens) ^ (np.uint64(bucket) << np.uint64(48)), np.frombuffer(n, "<u4")
+            which = np.cumsum(holders < AGAIN) - 1
+            keep = alive[which]
+            which, idx = which[keep], (holders & (AGAIN - 1))[keep].astype(np.int64)
+            t, df = t[which], df[which]
             order = np.lexsort((t, df, idx))
             t, idx, df = t[order], idx[order], df[order]
-            cut = np.searchsorted(idx, np.arange(len(nodes) + 1))
+            at = np.searchsorted(idx, np.arange(len(nodes) + 1))
             out = []
-            for d in np.flatnonzero(np.diff(cut) * 100 >= percent * sizes.astype(np.int64)):
-                lo, hi, n = cut[d], cut[d + 1], int(sizes[d])
+            for d in np.flatnonzero(np.diff(at) * 100 >= percent * sizes.astype(np.int64)):
+                lo, hi, n = at[d], at[d + 1], int(sizes[d])
                 gone = n - int(hi - lo)
                 one, two = room(n, percent) + 1 - gone, room(n, percent) + SUBSET - gone
                 out.append((nodes[d].tobytes(), n, t[lo:hi].view(np.int64), float(one + ENTRY * df[lo : lo + one].sum()), two * (two - 1) / 2.0))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64())), pa.array([x[3] for x in out], pa.float64()), pa.array([x[4] for x in out], pa.float64())], names=["sig", "n", "tokens", "scan", "subsets"])
 
-        now, parts, bits = None, [], []
+        now, parts = None, []
         for b in batches:
-            for k, bucket, *x in zip(*(b.column(c).to_pylist() for c in range(7))):
+            for k, *x in zip(*(b.column(c).to_pylist() for c in range(9))):
                 if k != now and parts:
-                    yield from settle(parts, bits)
-                    parts, bits = [], []
+                    yield from settle(parts)
+                    parts = []
                 now = k
-                parts.append(x), bits.append(bucket)
+                parts.append(x)
         if parts:
-            yield from settle(parts, bits)
+            yield from settle(parts)
 
     return run
 
@@ -301,32 +320,47 @@ def _blocks(boundary: int, percent: int):
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, n, grp) for each distinct text key: its number of shingles and the name of its component (null without words)."""
+    """(key, n, grp) for each distinct text key: its number of shingles and the name of its component (null without words).
+
+    Scratch tables go as soon as what was made of them is written.
+    """
     spark = docs.sparkSession
     n = kit.n_parts(spark)
     text = F.col("text").cast("string")
     rows = docs.where(text.isNotNull()).select(_key(text).alias("key"), text.alias("text"))
     sent = rows.mapInArrow(_report(k, 2 * n), _REPORT).repartition(n, "bucket").sortWithinPartitions("bucket")
     back = kit.stage(sent.mapInArrow(_count, _BACK), "counts")
-    members = back.where("sets IS NOT NULL").select("sets").mapInArrow(_members, "key binary, sig binary, n long").distinct()
-    alive = back.select("flush", "bucket", "tokens", "idx", "df", "nodes", "sizes").repartition(n, "flush").sortWithinPartitions("flush").mapInArrow(_survivors(percent), "sig binary, n int, tokens array<long>, scan double, subsets double")
+    members = kit.stage(back.where("sets IS NOT NULL").select("sets").mapInArrow(_members, "key binary, sig binary, n long").distinct(), "members")
+    alive = back.select("flush", "bucket", "tokens", "df", "alive", "holders", "cut", "nodes", "sizes").repartition(n, "flush").sortWithinPartitions("flush").mapInArrow(_survivors(percent), "sig binary, n int, tokens array<long>, scan double, subsets double")
     alive = alive.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "scan", "subsets")])
     sets = kit.stage(alive.withColumn("node", F.monotonically_increasing_id()), "sets")
+    kit.discard(back)
     costs = sets.groupBy(F.floor(F.log2("n") * 4).alias("size")).agg(F.max("n"), F.sum("scan"), F.sum("subsets")).orderBy("size").collect()  # a row per size class
     boundary = cheapest([tuple(r)[1:] for r in costs])
-    keys = sets.select("node", "n", "tokens").mapInArrow(_keys(boundary, percent), "node long, sign long")
-    keys = kit.stage(keys, "signatures")
+    keys = kit.stage(sets.select("node", "n", "tokens").mapInArrow(_keys(boundary, percent), "node long, sign long"), "signatures")
     center = keys.groupBy("sign").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other").select("sign", "center")
-    near = kit.components(keys.join(center, "sign").where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct())
-    near = near.join(sets.select("node", "n", "tokens"), "node")
-    load = near.groupBy("comp").agg(F.ceil(F.sum(F.size("tokens")) / BLOCK).cast("int").alias("of"))
+    stars = kit.stage(keys.join(center, "sign").where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), "stars")
+    kit.discard(keys)
+    star_comps = kit.components(stars)
+    near = kit.stage(star_comps, "clusters")
+    kit.discard(stars), kit.discard(star_comps)
+    size = sets.select("node", F.size("tokens").alias("size"))
+    near = near.join(size, "node")
+    load = near.groupBy("comp").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("of"))
     near = near.join(load, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    near = kit.stage(near.select("comp", "of", "block", "node"), "blocks")
     pair = F.when(F.col("of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))
-    near = near.withColumn("with", F.explode(pair)).select("comp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "n", "block", "tokens")
-    links = near.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_blocks(boundary, percent), "a long, b long")
-    comps = kit.components(kit.stage(links, "links"))
+    full = near.join(sets.select("node", "n", "tokens"), "node").withColumn("with", F.explode(pair))
+    full = full.select("comp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "n", "block", "tokens")
+    links = kit.stage(full.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_blocks(boundary, percent), "a long, b long"), "links")
+    kit.discard(near)
+    comps = kit.components(links)
     name = sets.select("sig", "node").join(comps, "node").select("sig", F.col("comp").cast("string").alias("comp"))
-    return members.join(name, "sig", "left").select("key", "n", F.when(F.col("n") > 0, F.coalesce("comp", F.hex("sig"))).alias("grp"))
+    out = members.join(name, "sig", "left").select("key", "n", F.when(F.col("n") > 0, F.coalesce("comp", F.hex("sig"))).alias("grp"))
+    out = kit.stage(out, "groups")
+    for x in (comps, links, sets, members):
+        kit.discard(x)
+    return out
 
 
 def _key(text):
@@ -350,11 +384,43 @@ def cluster(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, keep: lis
     equal sets link; repeated rows fall into one component; null doc_ids take their component's
     smallest one (null if it has none); an empty table gives no rows.
     """
-    found = groups(docs, k, percent)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("row"), F.col("doc_id").alias("id"), _key(F.col("text").cast("string")).alias("key"))
-    rows = rows.join(found, "key", "left")
-    least = rows.where("grp IS NOT NULL").groupBy("grp").agg(F.min("id").alias("least"))
-    return rows.join(least, "grp", "left").select("row", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("grp").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), "grp")
+    named = _named(docs, k, percent)
+    return rows.join(named, "key", "left").select("row", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("grp").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), "grp")
+
+
+def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, n, grp, least) for each distinct text: least is the smallest doc_id of its component. Ids are counted per text first, so copies don't travel."""
+    found = groups(docs, k, percent)
+    ids = docs.select(_key(F.col("text").cast("string")).alias("key"), F.col("doc_id").alias("id")).groupBy("key").agg(F.min("id").alias("id"))
+    known = kit.stage(found.join(ids, "key"), "texts")
+    kit.discard(found)
+    least = known.where("grp IS NOT NULL").groupBy("grp").agg(F.min("id").alias("least"))
+    return known.drop("id").join(least, "grp", "left")
+
+
+def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents of which one of each component stays: a row with its smallest doc_id, and of several such rows that of the first text key.
+
+    Everything is decided on ids and text keys; whole documents are shuffled once. Documents without words stay; rows that repeat both doc_id and
+    text stay once, the one whose columns have the smallest hash; an empty table gives no rows.
+    """
+    text = F.col("text").cast("string")
+    ids = docs.where(text.isNotNull()).select(_key(text).alias("key"), F.col("doc_id").alias("id")).groupBy("key", "id").agg(F.count("*").alias("copies"))
+    known = ids.join(_named(docs, k, percent), "key")
+    first = known.where("grp IS NOT NULL AND id <=> least").groupBy("grp").agg(F.min(F.struct("key", "id", "copies")).alias("x")).select("x.*")
+    kept = kit.stage(first.unionByName(known.where("grp IS NULL").select("key", "id", F.lit(1).cast("long").alias("copies"))), "kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(text).alias("key"), F.col("doc_id").alias("id"))
+
+    def those(which: str) -> DataFrame:
+        some = kept.where(which).select(F.col("key").alias("k"), F.col("id").alias("i"))
+        return rows.join(some, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
+
+    out = rows.where("key IS NULL").select("row").unionByName(those("copies = 1").select("row"))
+    if kept.where("copies > 1").head(1):
+        again = those("copies > 1").withColumn("h", F.xxhash64(*[F.col("row")[c] for c in docs.columns]))
+        out = out.unionByName(again.groupBy("key", "id").agg(F.min_by("row", "h").alias("row")).select("row"))
+    return out.select("row.*")
 
 
 def op8(spark, sf_dir):

@@ -20,9 +20,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only where none is configured and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="readloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,7 +42,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a frame that stage() returned, once whatever was made from it has been written in turn."""
+    for k, (spark, path) in enumerate(_made):
+        if path == getattr(df, "_scratch", None):
+            _delete(*_made.pop(k))
+            return
 
 
 def release(spark: SparkSession) -> None:
@@ -53,15 +65,17 @@ def release(spark: SparkSession) -> None:
 def clear() -> None:
     """Remove the scratch tables of this process; frames that still read them become invalid."""
     while _made:
-        spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_made.pop())
         except Exception:  # the session has ended: the cluster's own clean-up takes over
             return
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -96,8 +110,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
-        e = stage(small, "edges")
-    return e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        before, e = e, stage(small, "edges")
+        discard(before)
+    out = e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    out._scratch = e._scratch
+    return out
 
 
 # ---- bytes of Arrow columns -------------------------------------------------------------------

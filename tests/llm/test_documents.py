@@ -96,8 +96,9 @@ def shingle_sets(docs):
     return out
 
 
-def test_jaccard_components_equal_brute_force(docs):
-    sets = shingle_sets(docs)
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_jaccard_components_equal_brute_force(docs, parts):
+    sets, docs = shingle_sets(docs), docs.repartition(parts)
     root = list(range(len(sets)))
 
     def find(x):
@@ -131,6 +132,18 @@ def test_jaccard_keeps_flushes_of_equal_content_apart(spark, times, tmp_path):
     assert as_tuples(got, *got.columns) == sorted([(d, 101, d) for d in range(len(texts))] * times, key=repr)
 
 
+def test_one_of_each_component_stays(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{x}" for x in rng.integers(0, 10**9, 60)]
+    near = " ".join(words[:-1] + ["other"])
+    rows = [(3, " ".join(words), "a"), (3, near, "b"), (3, near, "b"), (5, near, "c"), (None, " ".join(words[:50]), "d"), (8, None, "e"), (9, "", "f"), (9, "", "f"), (None, "alone", "g"), (None, "alone", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    got = [tuple(r) for r in jaccard.one_of_each(docs).collect()]
+    assert [r for r in got if r[2] in "abcd"] in ([rows[0]], [rows[1]])
+    assert sorted(r[2] for r in got if r[2] in "efgh") in (["e", "f", "f", "g"], ["e", "f", "f", "h"])
+    assert got == [] or sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in jaccard.one_of_each(docs.repartition(7)).collect())
+
+
 @pytest.mark.parametrize("boundary", [0, 12, 10**6])
 def test_join_block_loses_no_component_at_any_boundary(boundary):
     rng = np.random.default_rng(boundary)
