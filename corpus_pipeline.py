@@ -27,10 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.cluster(docs)
-    first = found.where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
-    alone = first.where("grp IS NULL").select("row")
-    return alone.union(first.where("grp IS NOT NULL").dropDuplicates(["grp"]).select("row")).select("row.*")
+    return jaccard.one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
