@@ -105,14 +105,31 @@ def test_top_k_equals_brute_force(vectors):
     assert as_tuples(topk.search(vectors), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
 
 
-def test_top_k_stops_on_proof_only():
+def test_top_k_stops_on_proof_and_skips_postings():
     rng = np.random.default_rng(8)
-    x = rng.integers(-300, 300, (500, 12)).astype(float)
-    q = rng.integers(-300, 300, (7, 12)).astype(float)
-    who, ids, score = topk.best(topk.segments(x), x, np.arange(500), q, np.full(7, -1), 5)
+    x = np.floor(rng.normal(size=(3000, 12)) * 300 * rng.choice([1, 1, 1, 4], (3000, 1)))
+    q = np.floor(rng.normal(size=(7, 12)) * 300)
+    best = topk.Best(np.arange(7) + 10**6, q, 5)
+    for lo in range(0, 3000, 1000):
+        best.meet(topk.Block(np.arange(lo, lo + 1000), x[lo : lo + 1000]))
     for k in range(7):
-        order = sorted((-int(q[k] @ v), i) for i, v in enumerate(x))[:5]
-        assert [(-s, i) for s, i in zip(score[who == k], ids[who == k])] == order
+        want = sorted((-int(q[k] @ v), i) for i, v in enumerate(x))[:5]
+        assert best.found[k] == want
+    assert best.postings < 0.5 * q.shape[0] * (x != 0).sum()
+
+
+@pytest.mark.parametrize("size", [1e6, 5e7, 1e15, 1e300, 1.7e308])
+def test_top_k_takes_components_of_any_size(spark, size):
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) * s for x in rng.uniform(-1, 1, 6)]) for k, s in enumerate([size] * 20 + [1.0] * 20 + [-size] * 11)]
+    rows += [(60, rows[0][1]), (61, rows[0][1])]
+    whole = {k: [math.floor(256 * x) if math.isfinite(256 * x) else 256 * int(x) for x in v] for k, v in rows}
+    want = []
+    for k in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[k], v)), i) for i, v in whole.items() if i != k)[:5]
+        want += [(k, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)]
+    got = as_tuples(topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)), "query_id", "rank", "vec_id", "score")
+    assert got == sorted(want, key=repr)
 
 
 @pytest.fixture(scope="module")
