@@ -19,10 +19,12 @@ from readloom.llm import kit
 COSINE = 0.93
 #: Two unit vectors at cosine 0.93 share a cell of one table with chance 0.65, of any with 0.995; unrelated ones with 0.001 a table.
 TABLES, PROBES, SCALE, SEED = 5, 4, 2.6, 17
-#: Vectors of a cell that one task compares with as many others.
-BLOCK = 2048
+#: Components of the vectors of a cell that one task compares with as many others.
+BLOCK = 1 << 20
 #: Rows of up to 64 components compared at once, fewer if they are longer; components that a task turns into units at once.
 CHUNK, PIECE = 1 << 15, 1 << 21
+#: Vectors of a cell beyond which pairs come from matrix products, of tiles of so many rows.
+SMALL, TILE = 32, 512
 
 
 def neighbours() -> np.ndarray:
@@ -92,7 +94,7 @@ def _cells(tables: int, probes: int, scale: float):
                 label = kit.mix(b.column(1).to_numpy().astype(np.int64).view(np.uint64) + np.uint64(1))
                 found = cells(x, kit.mix(label + np.uint64(x.shape[1]) * np.uint64(0x9E3779B97F4A7C15)), tables, probes, scale)
                 flat = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["node", "cells"])
+                yield pa.RecordBatch.from_arrays([b.column(0), flat, pa.array(np.full(len(b), x.shape[1]), pa.int32())], names=["node", "cells", "width"])
 
     return run
 
@@ -111,8 +113,32 @@ def _compare(cosine: float, tables: int, probes: int):
             table = (own == cell[:, None]).argmax(1) // per
             n = len(group)
             count, root = np.zeros(n, np.int64), np.arange(n)
-            at, lag, chunk = np.arange(n - 1), 1, max(1, CHUNK * 64 // max(64, x.shape[1]))
-            while len(at):
+
+            def link(a, b):
+                nonlocal root
+                first = np.ones(len(a), bool)
+                for t in range(tables):
+                    u, v = own[a, t * per : (t + 1) * per], own[b, t * per : (t + 1) * per]
+                    both = u[:, :, None] == v[:, None, :]
+                    here = table[a] == t
+                    least = np.where(both.any(2), u, np.iinfo(np.int64).max).min(1)
+                    first &= np.where(here, least == cell[a], (table[a] < t) | ~both.any((1, 2)))
+                a, b = a[first], b[first]
+                np.add.at(count, a, weight[b])
+                np.add.at(count, b, weight[a])
+                while True:  # the smallest position that hangs together
+                    low = np.minimum(root[a], root[b])
+                    if (root[a] == low).all() and (root[b] == low).all():
+                        break
+                    np.minimum.at(root, root[a], low)
+                    np.minimum.at(root, root[b], low)
+                    np.minimum.at(root, a, low)
+                    np.minimum.at(root, b, low)
+                    root = root[root]
+
+            size = np.bincount(group)
+            at, lag, chunk = np.flatnonzero(size[group] <= SMALL), 1, max(1, CHUNK * 64 // max(64, x.shape[1]))
+            while len(at):  # small cells together: each row with the one so many places on
                 at = at[at + lag < n]
                 at = at[group[at] == group[at + lag]]
                 for lo in range(0, len(at), chunk):
@@ -121,27 +147,19 @@ def _compare(cosine: float, tables: int, probes: int):
                     ok = ~(cross[a] & (side[a] == side[b]))
                     a, b = a[ok], b[ok]
                     ok = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
-                    a, b = a[ok], b[ok]
-                    first = np.ones(len(a), bool)
-                    for t in range(tables):
-                        u, v = own[a, t * per : (t + 1) * per], own[b, t * per : (t + 1) * per]
-                        both = u[:, :, None] == v[:, None, :]
-                        here = table[a] == t
-                        least = np.where(both.any(2), u, np.iinfo(np.int64).max).min(1)
-                        first &= np.where(here, least == cell[a], (table[a] < t) | ~both.any((1, 2)))
-                    a, b = a[first], b[first]
-                    np.add.at(count, a, weight[b])
-                    np.add.at(count, b, weight[a])
-                    while True:  # the smallest position that hangs together
-                        low = np.minimum(root[a], root[b])
-                        if (root[a] == low).all() and (root[b] == low).all():
-                            break
-                        np.minimum.at(root, root[a], low)
-                        np.minimum.at(root, root[b], low)
-                        np.minimum.at(root, a, low)
-                        np.minimum.at(root, b, low)
-                        root = root[root]
+                    link(a[ok], b[ok])
                 lag += 1
+            end = np.cumsum(size)
+            for g in np.flatnonzero(size > SMALL):  # large ones by matrix products
+                lo, hi = end[g] - size[g], end[g]
+                sides = [np.arange(lo, hi)] * 2 if not cross[lo] else [lo + np.flatnonzero(side[lo:hi] == k) for k in (rows["i"][lo], rows["j"][lo])]
+                for p in range(0, len(sides[0]), TILE):
+                    for q in range(p if not cross[lo] else 0, len(sides[1]), TILE):
+                        one, two = sides[0][p : p + TILE], sides[1][q : q + TILE]
+                        a, b = np.nonzero(x[one] @ x[two].T >= cosine)
+                        a, b = one[a], two[b]
+                        ok = (a < b) | cross[lo]
+                        link(a[ok], b[ok])
             root = root[root]
             some = count > 0
             return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(count[some]), pa.array(node[root[some]])], names=["node", "links", "root"])
@@ -189,13 +207,14 @@ def near(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probe
     rows = rows.select("vec_id", "label", "e", "sound", F.when(F.col("sound"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("e").cast("array<string>")), 256)).alias("same"))
     nodes = rows.where("sound").groupBy("same").agg(F.min("vec_id").alias("name"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("e").alias("e"))
     nodes = kit.stage(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    posts = kit.stage(nodes.select("node", "label", "e").mapInArrow(_cells(tables, probes, scale), "node long, cells array<long>"), "cells")
-    post = posts.select("node", F.explode("cells").alias("cell"))
-    full = post.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1").select("cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("of"))
-    post = post.join(full, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    posts = kit.stage(nodes.select("node", "label", "e").mapInArrow(_cells(tables, probes, scale), "node long, cells array<long>, width int"), "cells")
+    post = posts.select("node", "width", F.explode("cells").alias("cell"))
+    full = post.groupBy("cell").agg(F.count("*").alias("m"), F.max("width").alias("w")).where("m > 1")
+    full = full.select("cell", F.ceil(F.col("m") / F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / F.col("w")))).cast("int").alias("of"))
+    post = post.select("node", "cell").join(full, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     pair = F.when(F.col("of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))
     post = post.withColumn("with", F.explode(pair)).select("cell", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node")
-    sent = post.join(posts, "node").join(nodes.select("node", "weight", "e"), "node").select("cell", "i", "j", "block", "node", "weight", "cells", "e")
+    sent = post.join(posts.drop("width"), "node").join(nodes.select("node", "weight", "e"), "node").select("cell", "i", "j", "block", "node", "weight", "cells", "e")
     found = sent.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_compare(cosine, tables, probes), "node long, links long, root long")
     found = kit.stage(found, "found")
     comps = kit.components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -69,10 +69,26 @@ def test_lattice_links_equal_brute_force(vectors):
 
 def test_hot_cells_go_in_blocks(vectors, monkeypatch):
     whole = as_tuples(lattice.near(vectors), "vec_id", "n_links", "component_id", "kept")
-    monkeypatch.setattr(lattice, "BLOCK", 3)
+    monkeypatch.setattr(lattice, "BLOCK", 3 * 16)
     assert as_tuples(lattice.near(vectors), "vec_id", "n_links", "component_id", "kept") == whole
 
 
+@pytest.mark.parametrize("block", [1 << 20, 100 * 16])
+def test_large_cells_link_like_small_ones(spark, monkeypatch, block):
+    rng = np.random.default_rng(12)
+    center = rng.normal(size=16)
+    x = center + rng.normal(size=(700, 16)) * rng.choice([0.05, 0.4], (700, 1))
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    close = unit @ unit.T >= 0.93
+    monkeypatch.setattr(lattice, "BLOCK", block)
+    docs = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in lattice.near(docs).collect()}
+    want = close.sum(1) - 1
+    assert all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.99 * want.sum()
+    monkeypatch.setattr(lattice, "SMALL", 10**6)
+    assert {r["vec_id"]: r["n_links"] for r in lattice.near(docs).collect()} == got
+
+
 def test_long_vectors_link_too(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=5000)
