@@ -95,7 +95,8 @@ def _report(k: int, buckets: int):
             t = np.concatenate([np.zeros(0, np.uint64), *tokens])
             sizes = np.array([len(x) for x in tokens], "<u4")
             order = np.argsort(t, kind="stable")
-            t, holders = t[order], np.repeat(np.arange(len(tokens)), sizes)[order]
+            t, holders = t[order], np.repeat(np.arange(len(tokens), dtype=np.uint16), sizes)[order]
+            del order
             new = np.append(True, t[1:] != t[:-1])[: len(t)]
             first = np.flatnonzero(new)
             held = np.diff(np.append(first, len(t))).astype("<u2")
@@ -105,7 +106,8 @@ def _report(k: int, buckets: int):
             flush_id = int.from_bytes(hashlib.blake2b(f"{part} {next(numbers)} ".encode() + table.tobytes(), digest_size=7).digest(), "big")
             low = t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             out = [(b, flush_id, low[cut[b] : cut[b + 1]].tobytes(), held[cut[b] : cut[b + 1]].tobytes(), *[None] * 5) for b in range(buckets) if cut[b] < cut[b + 1]]
-            own = (holders | np.where(new, 0, AGAIN)).astype("<u2"), cut.astype("<u4"), np.array(list(seen), "V16"), sizes, table
+            holders[~new] |= AGAIN
+            own = holders.astype("<u2"), cut.astype("<u4"), np.array(list(seen), "V16"), sizes, table
             out.append((flush_id % buckets, flush_id, None, None, *[x.tobytes() for x in own]))
             sets.clear(), tokens.clear(), seen.clear()
             return _batch(out, _REPORT)
@@ -328,16 +330,16 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     n = kit.n_parts(spark)
     text = F.col("text").cast("string")
     rows = docs.where(text.isNotNull()).select(_key(text).alias("key"), text.alias("text"))
-    sent = rows.mapInArrow(_report(k, 2 * n), _REPORT).repartition(n, "bucket").sortWithinPartitions("bucket")
-    back = kit.stage(sent.mapInArrow(_count, _BACK), "counts")
-    members = kit.stage(back.where("sets IS NOT NULL").select("sets").mapInArrow(_members, "key binary, sig binary, n long").distinct(), "members")
-    alive = back.select("flush", "bucket", "tokens", "df", "alive", "holders", "cut", "nodes", "sizes").repartition(n, "flush").sortWithinPartitions("flush").mapInArrow(_survivors(percent), "sig binary, n int, tokens array<long>, scan double, subsets double")
+    sent = rows.mapInArrow(kit.tidy(_report(k, 2 * n)), _REPORT).repartition(n, "bucket").sortWithinPartitions("bucket")
+    back = kit.stage(sent.mapInArrow(kit.tidy(_count), _BACK), "counts")
+    members = kit.stage(back.where("sets IS NOT NULL").select("sets").mapInArrow(kit.tidy(_members), "key binary, sig binary, n long").distinct(), "members")
+    alive = back.select("flush", "bucket", "tokens", "df", "alive", "holders", "cut", "nodes", "sizes").repartition(n, "flush").sortWithinPartitions("flush").mapInArrow(kit.tidy(_survivors(percent)), "sig binary, n int, tokens array<long>, scan double, subsets double")
     alive = alive.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "scan", "subsets")])
     sets = kit.stage(alive.withColumn("node", F.monotonically_increasing_id()), "sets")
     kit.discard(back)
     costs = sets.groupBy(F.floor(F.log2("n") * 4).alias("size")).agg(F.max("n"), F.sum("scan"), F.sum("subsets")).orderBy("size").collect()  # a row per size class
     boundary = cheapest([tuple(r)[1:] for r in costs])
-    keys = kit.stage(sets.select("node", "n", "tokens").mapInArrow(_keys(boundary, percent), "node long, sign long"), "signatures")
+    keys = kit.stage(sets.select("node", "n", "tokens").mapInArrow(kit.tidy(_keys(boundary, percent)), "node long, sign long"), "signatures")
     center = keys.groupBy("sign").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other").select("sign", "center")
     stars = kit.stage(keys.join(center, "sign").where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), "stars")
     kit.discard(keys)
@@ -352,7 +354,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     pair = F.when(F.col("of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))
     full = near.join(sets.select("node", "n", "tokens"), "node").withColumn("with", F.explode(pair))
     full = full.select("comp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "n", "block", "tokens")
-    links = kit.stage(full.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_blocks(boundary, percent), "a long, b long"), "links")
+    links = kit.stage(full.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(kit.tidy(_blocks(boundary, percent)), "a long, b long"), "links")
     kit.discard(near)
     comps = kit.components(links)
     name = sets.select("sig", "node").join(comps, "node").select("sig", F.col("comp").cast("string").alias("comp"))

@@ -30,6 +30,8 @@ FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split
 PER_LANGUAGE, IN_ALL = 600, 8000
 ONE, TWO, THREE = 256, 1280, 2560  # places of 1-, 2- and 3-grams
 WIDTH = ONE + TWO + THREE
+#: Bytes and rows whose features are counted at once.
+PIECE, ROWS = 1 << 17, 256
 
 _FOLD = np.full(256, 32, np.int64)
 _FOLD[128:] = np.arange(128, 256)
@@ -42,8 +44,8 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     total = np.zeros(n * WIDTH)
     if not len(buf):
         return total.reshape(n, WIDTH)
-    for lo in range(0, len(buf), kit.PIECE):
-        hi = min(len(buf), lo + kit.PIECE)
+    for lo in range(0, len(buf), PIECE):
+        hi = min(len(buf), lo + PIECE)
         b = _FOLD[buf[lo : min(len(buf), hi + 2)]]
         at = np.arange(lo, hi)
         row = np.searchsorted(offs, at, "right") - 1
@@ -127,7 +129,7 @@ def _vectors(batches):
     for b in batches:
         buf, offs = kit.column_bytes(b.column(1))
         out = []
-        for lo, hi in kit.row_slices(offs, rows=512):
+        for lo, hi in kit.row_slices(offs, PIECE, ROWS):
             x = features(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]).astype(np.float16)
             out += [v.tobytes() for v in x]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["lang", "x"])
@@ -145,7 +147,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
     most = min(per_language, in_all // len(counts))
     part = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, most / n))])
     draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(draw < part[F.col("lang")]).select("lang", "text").mapInArrow(_vectors, "lang string, x binary")
+    picked = rows.where(draw < part[F.col("lang")]).select("lang", "text").mapInArrow(kit.tidy(_vectors), "lang string, x binary")
     picked = sorted((r["lang"], bytes(r["x"])) for r in picked.limit(2 * in_all).collect())
     x = np.stack([np.frombuffer(v, np.float16) for _, v in picked]).astype(float) if picked else np.zeros((0, WIDTH))
     return Model([v for v, _ in picked], x) if picked else None
@@ -171,12 +173,12 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
             known = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
             if shared.value is not None and len(known):
                 buf, offs = kit.column_bytes(col.drop_null())
-                for lo, hi in kit.row_slices(offs, rows=512):
+                for lo, hi in kit.row_slices(offs, PIECE, ROWS):
                     x = features(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                     lang[known[lo:hi]], score[known[lo:hi]] = shared.value.predict(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    return full.mapInArrow(run, T.StructType([full.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return full.mapInArrow(kit.tidy(run), T.StructType([full.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(column: str = "doc_id"):

@@ -207,7 +207,7 @@ def near(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probe
     rows = rows.select("vec_id", "label", "e", "sound", F.when(F.col("sound"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("e").cast("array<string>")), 256)).alias("same"))
     nodes = rows.where("sound").groupBy("same").agg(F.min("vec_id").alias("name"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("e").alias("e"))
     nodes = kit.stage(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    posts = kit.stage(nodes.select("node", "label", "e").mapInArrow(_cells(tables, probes, scale), "node long, cells array<long>, width int"), "cells")
+    posts = kit.stage(nodes.select("node", "label", "e").mapInArrow(kit.tidy(_cells(tables, probes, scale)), "node long, cells array<long>, width int"), "cells")
     post = posts.select("node", "width", F.explode("cells").alias("cell"))
     full = post.groupBy("cell").agg(F.count("*").alias("m"), F.max("width").alias("w")).where("m > 1")
     full = full.select("cell", F.ceil(F.col("m") / F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / F.col("w")))).cast("int").alias("of"))
@@ -215,7 +215,7 @@ def near(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probe
     pair = F.when(F.col("of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))
     post = post.withColumn("with", F.explode(pair)).select("cell", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node")
     sent = post.join(posts.drop("width"), "node").join(nodes.select("node", "weight", "e"), "node").select("cell", "i", "j", "block", "node", "weight", "cells", "e")
-    found = sent.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_compare(cosine, tables, probes), "node long, links long, root long")
+    found = sent.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(kit.tidy(_compare(cosine, tables, probes)), "node long, links long, root long")
     found = kit.stage(found, "found")
     comps = kit.components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.select("node", "name", "same", "weight").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

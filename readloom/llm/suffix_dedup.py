@@ -393,7 +393,7 @@ def _windows(length: int, gram: int):
 def hot_repeats(texts: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
     """Spans of strings at anchors of hot grams: no task gathers a gram, each string meets its equals by digest, counted in part before the shuffle."""
     asked = found.where("b = -3").groupBy("key").agg(F.collect_list("a").alias("asked"))
-    seen = kit.stage(texts.join(asked, "key").select("text", "key", "asked").mapInArrow(_windows(length, gram), "key binary, a long, digest binary").distinct(), "windows")
+    seen = kit.stage(texts.join(asked, "key").select("text", "key", "asked").mapInArrow(kit.tidy(_windows(length, gram)), "key binary, a long, digest binary").distinct(), "windows")
     again = seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     return seen.join(again, "digest").select("key", "a", (F.col("a") + length).alias("b"))
 
@@ -406,12 +406,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     n = kit.n_parts(spark)
     text = F.col("text").cast("string")
     texts = docs.where(F.octet_length(text) >= length).select(_key(text).alias("key"), text.alias("text"))
-    rows = texts.mapInArrow(_report(length, gram, 2 * n), "bucket int, anchors binary, done binary")
-    found = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_grams(length, HOT), "key binary, a long, b long")
+    rows = texts.mapInArrow(kit.tidy(_report(length, gram, 2 * n)), "bucket int, anchors binary, done binary")
+    found = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(kit.tidy(_grams(length, HOT)), "key binary, a long, b long")
     found = kit.stage(found, "grams")
     asked = found.where("b IN (-1, -2)").groupBy("key").agg(F.collect_list(F.col("a") * 2 + F.when(F.col("b") == -2, 1).otherwise(0)).alias("asked"))
-    runs = texts.join(asked, "key").select("text", "key", "asked").mapInArrow(_runs(length, gram, _borders(docs, length, gram, n)), "range int, items binary, shared binary, bytes binary")
-    more = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_merge(length, gram), "key binary, a long, b long")
+    runs = texts.join(asked, "key").select("text", "key", "asked").mapInArrow(kit.tidy(_runs(length, gram, _borders(docs, length, gram, n))), "range int, items binary, shared binary, bytes binary")
+    more = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(kit.tidy(_merge(length, gram)), "key binary, a long, b long")
     spans = found.where("b > 0").union(kit.stage(more, "repeats"))
     return spans.union(hot_repeats(texts, found, length, gram)) if found.where("b = -3").head(1) else spans
 
@@ -475,7 +475,7 @@ def strip(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), b.column(1), pa.array(removed), pa.array(n_spans), pa.array(sha, pa.string())], names=[f.name for f in out])
 
     out = T.StructType([both.schema["row"], *[T.StructField(c, t()) for c, t in (("kept", T.StringType), ("n_bytes", T.LongType), ("n_removed", T.LongType), ("n_spans", T.LongType), ("kept_sha256", T.StringType))]])
-    return both.mapInArrow(run, out)
+    return both.mapInArrow(kit.tidy(run), out)
 
 
 def op2(spark, sf_dir):

@@ -253,9 +253,9 @@ def search(vectors: DataFrame, k: int = TOP, every: int = EVERY, factor: int = F
     e = F.col("embedding").cast("array<double>")
     sound = (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(sound & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("x")).distinct()
-    blocks = kit.stage(rows.mapInArrow(_pack(*BLOCK), _BLOB), "blocks")
-    asked = kit.stage(blocks.mapInArrow(_asked(every), "vec_id long, x array<double>").mapInArrow(_pack(*BATCH), _BLOB), "queries")
-    found = blocks.mapInArrow(_search(k, factor, asked.inputFiles()), _FOUND)
+    blocks = kit.stage(rows.mapInArrow(kit.tidy(_pack(*BLOCK)), _BLOB), "blocks")
+    asked = kit.stage(blocks.mapInArrow(kit.tidy(_asked(every)), "vec_id long, x array<double>").mapInArrow(kit.tidy(_pack(*BATCH)), _BLOB), "queries")
+    found = blocks.mapInArrow(kit.tidy(_search(k, factor, asked.inputFiles())), _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exact"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -157,7 +157,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         finally:
             out.close()
 
-    return kit.stage(rows.mapInArrow(run, CAPTURE), "captures")
+    return kit.stage(rows.mapInArrow(kit.tidy(run), CAPTURE), "captures")
 
 
 def index(captures: DataFrame, folder: str) -> DataFrame:
@@ -189,7 +189,7 @@ def index(captures: DataFrame, folder: str) -> DataFrame:
             out.close()
 
     ordered = captures.repartitionByRange(kit.n_parts(spark), "key", "page_id").sortWithinPartitions("key", "page_id")
-    return kit.stage(ordered.mapInArrow(run, directory), "directory")
+    return kit.stage(ordered.mapInArrow(kit.tidy(run), directory), "directory")
 
 
 def _lines(source, base: str, file: str, at: int, size: int) -> list[list[str]]:
@@ -230,9 +230,9 @@ def read(directory: DataFrame, folder: str) -> DataFrame:
                 f.close()
 
     n = kit.n_parts(spark)
-    places = directory.select("file", "at", "size").repartition(n).mapInArrow(captures, "file string, at long, size long")
+    places = directory.select("file", "at", "size").repartition(n).mapInArrow(kit.tidy(captures), "file string, at long, size long")
     stretch = F.floor(F.col("at") / STRETCH)
-    return places.repartition(n, "file", stretch).sortWithinPartitions("file", "at").mapInArrow(records, PAGE)
+    return places.repartition(n, "file", stretch).sortWithinPartitions("file", "at").mapInArrow(kit.tidy(records), PAGE)
 
 
 def lookup(directory: DataFrame, folder: str, urls: list[str]) -> DataFrame:
@@ -254,7 +254,7 @@ def lookup(directory: DataFrame, folder: str, urls: list[str]) -> DataFrame:
     hit = F.lit(False)
     for key in keys:
         hit |= (F.col("first") <= key) & (F.col("last") >= key)
-    return directory.where(hit).select("first", "last", "file", "at", "size").mapInArrow(run, f"key string, {PAGE}")
+    return directory.where(hit).select("first", "last", "file", "at", "size").mapInArrow(kit.tidy(run), f"key string, {PAGE}")
 
 
 def archive(pages: DataFrame, least: int = 0) -> tuple[DataFrame, str]:
