@@ -1,9 +1,9 @@
 """WARC archives with a two-level capture index.
 
 Records are gzip members of archive files, one file per task. The first index level holds capture lines
-sorted by reversed-host URL key in compressed blocks; the second is a sparse directory with one row per block. A
-lookup finds its blocks in the directory by their first and last key, binary-searches the lines of a block, and only
-then reads the byte range of a record. Files are written through the file system that the folder's URI names, so executors need no common disk.
+sorted by reversed-host URL key and page in compressed blocks; the second is a sparse directory with one row per block. A
+capture that is asked for finds its block by binary search in the directory and its line by binary search in the block, and only
+then is the byte range of its record read. Files are written through the file system that the folder's URI names, so executors need no common disk.
 """
 
 from __future__ import annotations
@@ -27,8 +27,12 @@ ARCHIVE_BYTES = 1 << 28
 BLOCK_LINES = 1024
 #: Bytes of an archive that one task reads back, and bytes of one range read.
 STRETCH, READ = 1 << 26, 1 << 22
+#: Cells of the directory that requests are dealt into; stands for a page without a number.
+CELLS, LEAST = 4096, -(1 << 63)
 DATE = "2000-01-01T00:00:00Z"
 CAPTURE = "key string, page_id long, file string, at long, size long"
+#: Directory rows (asks = 0) and requests (asks = 1), dealt into cells.
+_DEALT = "cell int, asks int, key string, page_id long, last string, last_page long, file string, at long, size long"
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -102,7 +106,7 @@ def page(data: bytes) -> tuple:
 def _batch(rows: list, names: str):
     import pyarrow as pa
 
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     cols = [c.split() for c in names.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(cols)], names=[n for n, _ in cols])
 
@@ -142,7 +146,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha"))
     last = rows.select("sha", "page_id").groupBy("sha").agg(F.max("page_id").alias("last"))
-    rows = rows.join(last, "sha").select("page_id", "url", "payload", "sha", "last", (~F.col("page_id").eqNullSafe(F.col("last")) & (F.octet_length("payload") >= least)).alias("revisit"))
+    rows = rows.join(last, "sha").select("page_id", "url", F.col("payload").cast("binary").alias("payload"), "sha", "last", (~F.col("page_id").eqNullSafe(F.col("last")) & (F.octet_length("payload") >= least)).alias("revisit"))
 
     def run(batches):
         out = Archive(folder, "pages", ".warc.gz", ARCHIVE_BYTES)
@@ -151,7 +155,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                 found = []
                 for k in range(b.num_rows):
                     page_id, url, body, sha, last_id, revisit = (b.column(c)[k].as_py() for c in range(6))
-                    data = record(page_id, url, body.encode(), base64.b32encode(bytes.fromhex(sha)).decode(), last_id if revisit else None, revisit)
+                    data = record(page_id, url, body, base64.b32encode(bytes.fromhex(sha)).decode(), last_id if revisit else None, revisit)
                     found.append((_clean(url_key(url)), page_id, *out.add(data)))
                 yield _batch(found, CAPTURE)
         finally:
@@ -161,9 +165,9 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
 
 def index(captures: DataFrame, folder: str) -> DataFrame:
-    """Sort captures by (key, page_id) into compressed blocks and return the directory: (first, last, file, at, size, lines)."""
+    """Sort captures by (key, page_id) into compressed blocks and return the directory: the first and last capture of each block, and its place."""
     spark = captures.sparkSession
-    directory = "first string, last string, file string, at long, size long, lines long"
+    directory = "first string, first_page long, last string, last_page long, file string, at long, size long, lines long"
 
     def run(batches):
         out, lines = Archive(folder, "index", ".cdx.gz", ARCHIVE_BYTES), []
@@ -171,7 +175,7 @@ def index(captures: DataFrame, folder: str) -> DataFrame:
         def block():
             packer = zlib.compressobj(6, zlib.DEFLATED, 31)
             data = packer.compress("".join(f"{' '.join(map(str, x))}\n" for x in lines).encode()) + packer.flush()
-            found = (lines[0][0], lines[-1][0], *out.add(data), len(lines))
+            found = (*_capture(lines[0]), *_capture(lines[-1]), *out.add(data), len(lines))
             lines.clear()
             return found
 
@@ -197,22 +201,81 @@ def _lines(source, base: str, file: str, at: int, size: int) -> list[list[str]]:
         return [x.split(" ") for x in zlib.decompress(f.read_at(size, at), 31).decode().split("\n")[:-1]]
 
 
-def read(directory: DataFrame, folder: str) -> DataFrame:
-    """Read every record that the index lists, by byte range in file order."""
+def _capture(line: list) -> tuple[str, int]:
+    """What captures are sorted by: the key, then the page; one without a number comes first."""
+    return line[0], LEAST if line[1] in (None, "-") else int(line[1])
+
+
+def requests(pages: DataFrame) -> DataFrame:
+    """(key, page_id) of the captures of all pages."""
+
+    def run(batches):
+        for b in batches:
+            yield _batch([(_clean(url_key(u)), LEAST if p is None else p) for u, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], "key string, page_id long")
+
+    return pages.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id")).mapInArrow(kit.tidy(run), "key string, page_id long").distinct()
+
+
+def _borders(directory: DataFrame) -> list[tuple[str, int]]:
+    """At most about 2 * CELLS captures that cut the directory into cells, from a sample by hash (they shape the load only)."""
+    n = directory.count()
+    rows = directory.select("last", "last_page", F.pmod(F.xxhash64("file", "at"), F.lit(1 << 30)).alias("h"))
+    return sorted((r[0], r[1]) for r in rows.where(F.col("h") < int((1 << 30) * min(1.0, CELLS / max(1, n)))).limit(4 * CELLS).collect())
+
+
+def places(asked: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """(file, at, size) of the records of (key, page_id) captures. Both the directory and the requests are dealt into cells by a few borders; in a cell
+    a request binary-searches the directory, then the lines of its block, which is read once for all requests that it may hold."""
     spark = directory.sparkSession
+    n, borders = kit.n_parts(spark), _borders(directory)
 
-    def captures(batches):
+    def of_requests(batches):
+        for b in batches:
+            yield _batch([(bisect.bisect_left(borders, (k, p)), 1, k, p, k, p, None, None, None) for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], _DEALT)
+
+    def of_blocks(batches):
+        for b in batches:
+            found = []
+            for k, p, k2, p2, *place in zip(*(b.column(c).to_pylist() for c in range(7))):
+                found += [(c, 0, k, p, k2, p2, *place) for c in range(bisect.bisect_left(borders, (k, p)), bisect.bisect_left(borders, (k2, p2)) + 1)]
+            yield _batch(found, _DEALT)
+
+    def search(batches):
         source, base = file_system(folder)
+        cell, blocks, last, held, lines = None, [], [], None, []
         for b in batches:
-            for file, at, size in zip(*(b.column(c).to_pylist() for c in range(3))):
-                yield _batch([(f, int(a), int(n)) for _, _, f, a, n in _lines(source, base, file, at, size)], "file string, at long, size long")
+            found = []
+            for c, asks, k, p, k2, p2, *place in zip(*(b.column(c).to_pylist() for c in range(9))):
+                if c != cell:
+                    cell, blocks, last, held = c, [], [], None
+                if not asks:
+                    blocks.append(((k, p), place)), last.append((k2, p2))
+                    continue
+                at = bisect.bisect_left(last, (k, p))
+                while at < len(blocks) and blocks[at][0] <= (k, p):
+                    if held != at:
+                        held, lines = at, _lines(source, base, *blocks[at][1])
+                    x = bisect.bisect_left(lines, (k, p), key=_capture)
+                    while x < len(lines) and _capture(lines[x]) == (k, p):
+                        found.append((lines[x][2], int(lines[x][3]), int(lines[x][4])))
+                        x += 1
+                    at += 1
+            yield _batch(found, "file string, at long, size long")
+
+    blocks = directory.select("first", "first_page", "last", "last_page", "file", "at", "size").mapInArrow(kit.tidy(of_blocks), _DEALT)
+    dealt = asked.select("key", "page_id").mapInArrow(kit.tidy(of_requests), _DEALT).unionAll(blocks)
+    return dealt.repartition(n, "cell").sortWithinPartitions("cell", "asks", "key", "page_id", "last", "last_page").mapInArrow(kit.tidy(search), "file string, at long, size long")
+
+
+def records(found: DataFrame, folder: str) -> DataFrame:
+    """The records at (file, at, size) places, read by byte range in file order."""
 
-    def records(batches):
+    def run(batches):
         source, base = file_system(folder)
         name, f, buf, start = None, None, b"", 0
         try:
             for b in batches:
-                found = []
+                out = []
                 for file, at, size in zip(*(b.column(c).to_pylist() for c in range(3))):
                     if file != name:
                         if f is not None:
@@ -220,19 +283,17 @@ def read(directory: DataFrame, folder: str) -> DataFrame:
                         name, f, buf, start = file, source.open_input_file(f"{base}/{file}"), b"", 0
                     if not start <= at <= at + size <= start + len(buf):
                         start, buf = at, f.read_at(max(READ, size), at)
-                    found.append(page(buf[at - start : at - start + size]))
-                    if len(found) == 4096:
-                        yield _batch(found, PAGE)
-                        found = []
-                yield _batch(found, PAGE)
+                    out.append(page(buf[at - start : at - start + size]))
+                    if len(out) == 4096:
+                        yield _batch(out, PAGE)
+                        out = []
+                yield _batch(out, PAGE)
         finally:
             if f is not None:
                 f.close()
 
-    n = kit.n_parts(spark)
-    places = directory.select("file", "at", "size").repartition(n).mapInArrow(kit.tidy(captures), "file string, at long, size long")
     stretch = F.floor(F.col("at") / STRETCH)
-    return places.repartition(n, "file", stretch).sortWithinPartitions("file", "at").mapInArrow(kit.tidy(records), PAGE)
+    return found.repartition(kit.n_parts(found.sparkSession), "file", stretch).sortWithinPartitions("file", "at").mapInArrow(kit.tidy(run), PAGE)
 
 
 def lookup(directory: DataFrame, folder: str, urls: list[str]) -> DataFrame:
@@ -266,8 +327,14 @@ def archive(pages: DataFrame, least: int = 0) -> tuple[DataFrame, str]:
     return index(write(pages, folder, least), folder), folder
 
 
+def read(pages: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """The records of the captures of all rows of pages, each found through the index."""
+    return records(places(requests(pages), directory, folder), folder)
+
+
 def op10(spark, sf_dir):
-    return read(*archive(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return read(pages, *archive(pages))
 
 
 ORACLE_SQL = """

@@ -189,17 +189,39 @@ def test_warc_round_trip(spark, pages):
     for i, b in rows:
         first = (-1 if i is None else i) == last[b]
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first else "revisit", None if first else last[b]))
-    assert as_tuples(warc.read(directory, folder), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=repr)
+    assert as_tuples(warc.read(pages, directory, folder), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=repr)
     hit = warc.lookup(directory, folder, ["http://a.b.org/x", "http://nowhere.org/"]).collect()
     assert sorted(r["page_id"] for r in hit) == [0, 18, 36]
 
 
+def test_requests_find_their_own_captures_only(spark, pages, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    monkeypatch.setattr(warc, "CELLS", 3)
+    directory, folder = warc.archive(pages)
+    assert directory.count() > 12
+    some = pages.where("page_id % 5 = 2 OR page_id IS NULL")
+    cols = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = [r for r in as_tuples(warc.read(pages, directory, folder), *cols)]
+    assert len(whole) == pages.count()
+    assert as_tuples(warc.read(some, directory, folder), *cols) == [r for r in whole if r[0] is None or r[0] % 5 == 2]
+    nowhere = spark.createDataFrame([(2, "http://a.b.org/y"), (999, "http://a.b.org/x"), (None, "http://zzz.zz/")], "page_id long, url string")
+    assert warc.read(nowhere, directory, folder).count() == 0
+
+
+def test_payloads_that_are_no_text(spark):
+    raw = [b"\xff\xfe\x00ab", b"\xc3", b"ok", b"\xc3"]
+    pages = spark.createDataFrame([(k, f"http://h{k}.org/", bytearray(x)) for k, x in enumerate(raw)], "page_id long, url string, html binary")
+    found = {r["page_id"]: r for r in warc.read(pages, *warc.archive(pages)).collect()}
+    assert all(found[k]["payload_bytes"] == len(x) and found[k]["payload_digest"] == base64.b32encode(hashlib.sha1(x).digest()).decode() for k, x in enumerate(raw))
+    assert found[1]["refers_to"] == 3 and found[3]["record_type"] == "response"
+
+
 def test_small_payloads_are_no_revisits(spark, pages):
     directory, folder = warc.archive(pages, least=20)
-    for r in warc.read(directory, folder).collect():
+    for r in warc.read(pages, directory, folder).collect():
         assert r["payload_bytes"] >= 20 or r["record_type"] == "response"
 
 
 def test_empty_tables(spark, vectors, pages):
     v, p = vectors.limit(0), pages.limit(0)
-    assert lattice.near(v).count() == topk.search(v).count() == urls.judge(p).count() == warc.read(*warc.archive(p)).count() == 0
+    assert lattice.near(v).count() == topk.search(v).count() == urls.judge(p).count() == warc.read(p, *warc.archive(p)).count() == 0
