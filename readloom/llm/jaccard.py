@@ -428,3 +428,19 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
 def op8(spark, sf_dir):
     found = cluster(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
     return found.select("row.doc_id", "n_shingles", "component_id")
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+z AS (SELECT r, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY x)) AS sig FROM s GROUP BY r),
+u AS (SELECT sig, min(r) AS r, any_value(n) AS n FROM z GROUP BY sig),
+t AS (SELECT u.r, x FROM u JOIN s USING (r)),
+b AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT b.a, b.b FROM b JOIN u p ON p.r = b.a JOIN u q ON q.r = b.b WHERE 100 * c >= {PERCENT} * (p.n + q.n - c)),
+m AS (SELECT r AS node, r AS comp FROM u UNION SELECT l.b, m.comp FROM m JOIN l ON l.a = m.node),
+e AS (SELECT u.sig, min(m.comp) AS comp FROM u JOIN m ON m.node = u.r GROUP BY u.sig),
+f AS (SELECT z.r, z.n, e.comp FROM z JOIN e USING (sig)),
+g AS (SELECT comp, min(doc_id) AS least FROM f JOIN d USING (r) GROUP BY comp)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE least END AS component_id FROM d LEFT JOIN f USING (r) LEFT JOIN g USING (comp)
+"""

@@ -252,6 +252,19 @@ def test_licenses_equal_brute_force(docs):
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1
 
 
+def test_license_labels_need_their_words_in_place(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    words = bsd.split()
+    texts = {
+        "whole": "x " * 3 + bsd, "gap": bsd.replace("conditions", "terms"), "phrase": "redistribution and use in source and binary forms", "shifted": " ".join(words[:9] + ["also"] + words[9:]),
+        "unphrased": bsd.replace("binary", "object"), "mixed": " ".join(reversed(words)), "two": bsd + " Released under the MIT License.", "none": "nothing to see", "null": None,
+    }
+    found = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string"))
+    got = {r["row"]["doc_id"]: r for r in found.collect()}
+    assert {k: r["labels"] for k, r in got.items()} == {"whole": "bsd", "gap": "bsd", "phrase": "", "shifted": "", "unphrased": "", "mixed": "", "two": "bsd,mit", "none": "", "null": ""}
+    assert got["whole"]["score"] == 1 and 0.5 < got["gap"]["score"] < 1 and got["two"]["base_labels"] == "mit" and got["none"]["score"] == 0
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 
