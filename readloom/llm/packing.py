@@ -5,7 +5,8 @@ lengths). Pieces are placed by falling length; among the open bins that can take
 constraint, the one with the best score gets it (``dot``: smallest weighted dot product of demand and
 slack, ``norm``: smallest weighted residual norm after placing). Equal pieces in equal bins are placed
 together, so the planner works on the histogram of lengths: at most ``capacity`` classes, and each class
-adds at most two groups of bins. Its size depends on the capacity alone, never on the corpus, which is
+adds at most two groups of bins. Limits on documents and cost that aren't given are made as tight as they get without a
+further bin. Its size depends on the capacity alone, never on the corpus, which is
 what makes the plan broadcastable. Ranks inside a length class come from counts per task and a
 prefix sum over tasks, so no class is ever gathered.
 """
@@ -29,6 +30,8 @@ WORDS, CHUNKS = 250_000, 10_000
 PART = 1 << 22
 BREAK = re.compile("[ \t\n\r]+")
 VOCABULARY = "word_bpe_49k.json"
+#: What tokens, documents and attention cost count for in the score of a bin.
+WEIGHTS = (1.0, 0.5, 0.5)
 
 
 def _byte_letters() -> list[str]:
@@ -127,7 +130,7 @@ def tokenized(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kit.tidy(run), schema)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights=(1.0, 0.0, 0.0), rule: str = "norm") -> np.ndarray:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights=WEIGHTS, rule: str = "norm") -> np.ndarray:
     """Rows (length, first rank, first bin, offset, how many): pieces of one length, from a rank on, go to consecutive bins at an offset."""
     max_docs, max_cost = max_docs or capacity, max_cost or capacity * capacity
     top = np.array([capacity, max_docs, max_cost], float)
@@ -159,9 +162,29 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, max_docs: int | None
     return np.asarray(rows, np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights=(1.0, 0.0, 0.0), rule: str = "norm") -> DataFrame:
+def bins_of(rows: np.ndarray) -> int:
+    return int((rows[:, 2] + rows[:, 4]).max(initial=0))
+
+
+def tightest(counts: dict[int, int], capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights=WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, int, int]:
+    """A plan and its limits on documents and cost. A limit that isn't given starts where it can't bind and is bisected down to where the plan would need more bins."""
+    most = {"max_docs": max_docs or capacity, "max_cost": max_cost or capacity * capacity}
+    best = plan(counts, capacity, **most, weights=weights, rule=rule)
+    for name, low in [(k, low) for k, given, low in (("max_docs", max_docs, 1), ("max_cost", max_cost, max(counts, default=1) ** 2)) if not given]:
+        while low < 0.95 * most[name]:
+            less = most | {name: int(low + most[name]) // 2}
+            tried = plan(counts, capacity, **less, weights=weights, rule=rule)
+            if bins_of(tried) > bins_of(best):
+                low = less[name] + 1
+            else:
+                best, most = tried, less
+    return best, most["max_docs"], most["max_cost"]
+
+
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights=WEIGHTS, rule: str = "norm") -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` tokens.
 
+    As few as the vector rule finds; limits on documents and cost per sequence may be given, else they are as tight as that number allows.
     A document is its token ids and then id 0; only longer ones are cut, into pieces of ``capacity``.
     Null text counts as empty (one token), a null doc_id stays null, repeated rows are packed each,
     an empty table gives no rows; other columns are not read. Returns doc_id, piece, start, length,
@@ -172,7 +195,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, max_docs: i
     per = items.groupBy("task", "length").agg(F.count("*").alias("n"))
     base = per.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base"))
     counts = {r[0]: r[1] for r in per.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
-    table = spark.sparkContext.broadcast(plan(counts, capacity, max_docs, max_cost, weights, rule))
+    table = spark.sparkContext.broadcast(tightest(counts, capacity, max_docs, max_cost, weights, rule)[0])
 
     def place(batches):
         import pyarrow as pa

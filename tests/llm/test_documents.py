@@ -219,6 +219,20 @@ def test_plan_keeps_every_constraint(rule):
     assert all(len(b) <= 3 and sum(n for _, n in b) <= 100 and sum(n * n for _, n in b) <= 5500 for b in bins.values())
 
 
+def test_weights_and_limits_decide_without_further_bins():
+    rng = np.random.default_rng(5)
+    counts = Counter(np.minimum(2048, rng.lognormal(5.5, 1.3, 3000).astype(int) + 1).tolist())
+    tokens = sum(n * k for n, k in counts.items())
+    per = lambda rows: Counter(b for _, _, first, _, n in rows.tolist() for b in range(first, first + n))
+    plain = packing.plan(counts, weights=(1, 0, 0))
+    rows, docs, cost = packing.tightest(counts)
+    assert packing.bins_of(rows) == packing.bins_of(plain) == -(-tokens // 2048)
+    assert max(per(rows).values()) <= docs < max(per(plain).values()) <= 2048
+    assert not np.array_equal(packing.plan(counts), plain)
+    with_limit, docs, cost = packing.tightest(counts, max_docs=4)
+    assert docs == 4 and max(per(with_limit).values()) <= 4 and packing.bins_of(with_limit) > packing.bins_of(plain)
+
+
 def test_language_id_rules(docs):
     found = langid.identify(docs, langid.learn(docs))
     for r in found.collect():
