@@ -69,34 +69,36 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.sqrt(total / np.maximum(1, total.sum(1, keepdims=True)))
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 8.0, rounds: int = 12) -> np.ndarray:
-    """A linear support vector machine (squared hinge) by dual coordinate descent; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    diag, a, w = (x * x).sum(1) + 0.5 / cost, np.zeros(len(x)), np.zeros(x.shape[1])
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 8.0, rounds: int = 12) -> np.ndarray:
+    """A linear support vector machine (squared hinge) on some rows of x by dual coordinate descent. x's last column is 1: its weight is the bias."""
+    diag, a, w = np.array([x[r].astype(float) @ x[r] for r in rows]) + 0.5 / cost, np.zeros(len(rows)), np.zeros(x.shape[1])
     rng = np.random.default_rng(0)
     for _ in range(rounds):
-        for i in rng.permutation(len(x)):
-            new = max(0.0, a[i] - (y[i] * (w @ x[i]) - 1 + a[i] * 0.5 / cost) / diag[i])
+        for i in rng.permutation(len(rows)):
+            one = x[rows[i]].astype(float)
+            new = max(0.0, a[i] - (y[i] * (w @ one) - 1 + a[i] * 0.5 / cost) / diag[i])
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                w += (new - a[i]) * y[i] * one
                 a[i] = new
     return w
 
 
 class Model:
+    """Classifiers of languages by rows of x, whose last column is 1; x is only looked at row by row and never copied."""
+
     def __init__(self, langs: list[str], x: np.ndarray) -> None:
         label = np.asarray(langs, object)
         self.families: dict[str, list[str]] = {}
         for lang in sorted(set(langs)):
             self.families.setdefault(FAMILY.get(lang, lang), []).append(lang)
-        names = list(self.families)
+        names, everything = list(self.families), np.arange(len(langs))
         family = np.asarray([FAMILY.get(v, v) for v in langs], object)
-        self.top = np.stack([svm(x, np.where(family == f, 1.0, -1.0)) for f in names]) if len(names) > 1 else None
+        self.top = np.stack([svm(x, everything, np.where(family == f, 1.0, -1.0)) for f in names]) if len(names) > 1 else None
         self.pairs = {}
-        for f, members in self.families.items():
+        for members in self.families.values():
             for p, q in combinations(members, 2):
-                use = (label == p) | (label == q)
-                self.pairs[p, q] = svm(x[use], np.where(label[use] == p, 1.0, -1.0))
+                use = np.flatnonzero((label == p) | (label == q))
+                self.pairs[p, q] = svm(x, use, np.where(label[use] == p, 1.0, -1.0))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         x = np.hstack([x, np.ones((len(x), 1))])
@@ -124,6 +126,7 @@ class Model:
 
 
 def _vectors(batches):
+    """(lang, x, draw) of (lang, text, draw): features as half-precision numbers."""
     import pyarrow as pa
 
     for b in batches:
@@ -132,11 +135,11 @@ def _vectors(batches):
         for lo, hi in kit.row_slices(offs, PIECE, ROWS):
             x = features(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]).astype(np.float16)
             out += [v.tobytes() for v in x]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["lang", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), b.column(2)], names=["lang", "x", "draw"])
 
 
 def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model | None:
-    """Fit on a sample of (id, lang, text) rows: by a hash of id, about ``per_language`` of each language.
+    """Fit on a sample of (id, lang, text) rows: by a hash of id and text, about ``per_language`` of each language.
 
     Rows without id, language or a letter are left out; None if nothing is left.
     """
@@ -146,11 +149,16 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
         return None
     most = min(per_language, in_all // len(counts))
     part = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, most / n))])
-    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(draw < part[F.col("lang")]).select("lang", "text").mapInArrow(kit.tidy(_vectors), "lang string, x binary")
-    picked = sorted((r["lang"], bytes(r["x"])) for r in picked.limit(2 * in_all).collect())
-    x = np.stack([np.frombuffer(v, np.float16) for _, v in picked]).astype(float) if picked else np.zeros((0, WIDTH))
-    return Model([v for v, _ in picked], x) if picked else None
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1 << 30))
+    picked = rows.where(draw / float(1 << 30) < part[F.col("lang")]).select("lang", "text", draw.alias("draw")).mapInArrow(kit.tidy(_vectors), "lang string, x binary, draw long")
+    # the bound holds whatever the ids: by hash, then by content, so that reruns agree
+    picked = sorted((r["lang"], bytes(r["x"])) for r in picked.orderBy("draw", "lang", "x").limit(2 * in_all).collect())
+    if not picked:
+        return None
+    x = np.ones((len(picked), WIDTH + 1), np.float16)
+    for k, (_, v) in enumerate(picked):
+        x[k, :-1] = np.frombuffer(v, np.float16)
+    return Model([v for v, _ in picked], x)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

@@ -21,6 +21,8 @@ SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, SMOOTH = 16, 3, 12, 0.3, 1.0
 #: The rules are one expression; more of them than this are refused.
 MAX_RULES = 2000
+#: Folds of the labelled urls: the rate of a suffix leaves out the labels of the url's own fold.
+FOLDS = 5
 FEATURES = ("length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "suffix_count")
 
 
@@ -147,6 +149,40 @@ def fit(rows: DataFrame) -> Trees | None:
     return model
 
 
+def _described(rows: DataFrame) -> DataFrame:
+    """Rows (url, host, path, suffix, by_rule) with their FEATURES. Suffixes are counted over all rows, their rate over labelled ones of other folds
+    (repeated urls share a fold), so that no label explains itself."""
+    bad, fold = F.when(F.col("by_rule") == "block", 1).otherwise(0), F.pmod(F.xxhash64("url", F.lit(3)), F.lit(FOLDS)).cast("int")
+    rows = rows.withColumn("fold", fold)
+    per = [F.struct(F.count(F.when(F.col("fold") == k, F.col("by_rule"))).alias("known"), F.sum(F.when(F.col("fold") == k, bad).otherwise(0)).alias("bad")) for k in range(FOLDS)]
+    stats = rows.groupBy("suffix").agg(F.count("*").alias("all"), F.count("by_rule").alias("known"), F.sum(bad).alias("bad"), F.array(*per).alias("folds"))
+    own = F.when(F.col("by_rule").isNotNull(), F.get("folds", F.col("fold")))
+    rate = (F.col("bad") - F.coalesce(own["bad"], F.lit(0)) + 2.0) / (F.col("known") - F.coalesce(own["known"], F.lit(0)) + 4.0)
+    full = rows.join(stats, "suffix").withColumn("suffix_rate", rate).withColumn("suffix_count", F.log1p("all"))
+    return full.drop("all", "known", "bad", "folds").withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
+
+
+def _ruled(pages: DataFrame, rules, keep: list[str] | None) -> DataFrame:
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in (keep or pages.columns)]).alias("row"), url.alias("url"))
+    host, path = host_path(F.col("url"))
+    rows = rows.withColumn("host", host).withColumn("path", path)
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    return rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
+
+
+def held_out(pages: DataFrame, rules=RULES) -> tuple[int, int, int]:
+    """How well trees that never saw a fifth of the labelled urls judge that fifth: (urls, right ones, those of the more frequent verdict)."""
+    rows = _ruled(pages, rules, ["url"])
+    aside = F.pmod(F.xxhash64("url", F.lit(5)), F.lit(5)) == 0
+    full = _described(rows.withColumn("truth", F.col("by_rule")).withColumn("by_rule", F.when(~aside, F.col("by_rule"))))
+    model = fit(full.where("by_rule IS NOT NULL").select(*FEATURES, F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0).alias("y"), F.xxhash64("url").alias("h")))
+    score = model.score() if model else F.lit(0.0)
+    block = F.col("truth") == "block"
+    n, right, bad = full.where(aside & F.col("truth").isNotNull()).agg(F.count("*"), F.count(F.when((score >= 0.5) == block, 1)), F.count(F.when(block, 1))).first()
+    return n, right, max(bad, n - bad)
+
+
 def judge(pages: DataFrame, rules=RULES, keep: list[str] | None = None) -> DataFrame:
     """Judge every url. Returns (row, host, path, rule, verdict, score); ``row`` is a struct of the input's columns (or of ``keep``).
 
@@ -155,15 +191,8 @@ def judge(pages: DataFrame, rules=RULES, keep: list[str] | None = None) -> DataF
     url has a rule, or all those have one verdict, that verdict (or allow) holds. Repeated rows are judged alike; an empty
     table gives no rows.
     """
-    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in (keep or pages.columns)]).alias("row"), url.alias("url"))
-    host, path = host_path(F.col("url"))
-    rows = rows.withColumn("host", host).withColumn("path", path)
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
-    stats = rows.groupBy("suffix").agg(F.count("*").alias("all"), F.count("by_rule").alias("known"), F.sum(F.when(F.col("by_rule") == "block", 1).otherwise(0)).alias("bad"))
-    stats = stats.select("suffix", ((F.col("bad") + 2.0) / (F.col("known") + 4.0)).alias("suffix_rate"), F.log1p("all").alias("suffix_count"))
-    full = rows.join(stats, "suffix").withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
+    rows = _ruled(pages, rules, keep)
+    full = _described(rows)
     known = full.where("by_rule IS NOT NULL").select(*FEATURES, F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0).alias("y"), F.xxhash64("url").alias("h"))
     model = fit(known)
     score = model.score() if model else F.lit(0.0)
