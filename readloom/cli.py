@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from readloom.plans.config import CHEMISTRIES, trim_overrides
 from readloom.plans.jobs import run
@@ -18,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-f", "--strand_filter", choices=CHEMISTRIES, default="unstranded")
     p.add_argument("-t", "--trim", help="length:strictness per library, separated by commas")
     p.add_argument("-p", "--force_bam_paired", action="store_true", help="skip unpaired BAM records")
+    p.add_argument("--compat", action="store_true", help="reproduce odd behaviour of existing outputs (see Config.compat)")
     return p
 
 
@@ -30,7 +32,7 @@ def main(args: list[str] | None = None, spark=None) -> None:
         builder = SparkSession.builder.appName("readloom")
         spark = (builder if SparkConf().contains("spark.master") else builder.master(f"local[{a.cores}]")).getOrCreate()
     loaded = [load_library(spark, path, a.strand_filter) for path in a.reference]
-    configs = [c for c, _ in loaded]
+    configs = [replace(c, compat=a.compat) for c, _ in loaded]
     if a.trim:
         configs = trim_overrides(a.trim, configs)
     run(spark, [(c, lib) for c, (_, lib) in zip(configs, loaded)], a.input, a.output, a.force_bam_paired)

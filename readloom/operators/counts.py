@@ -19,7 +19,7 @@ def mates(pairs: DataFrame) -> DataFrame:
     """(pair_id, mate, read_id, seq[, skip]) of pairs; an absent mate has no row."""
     extra = [F.struct(F.lit(m).alias("mate"), F.col(f"r{m}").alias("seq"), (F.coalesce(F.col(f"skip{m}"), F.lit(False)) if f"skip{m}" in pairs.columns else F.lit(False)).alias("skip")) for m in (1, 2)]
     rows = pairs.select("pair_id", F.explode(F.array(*extra)).alias("x")).where("x.seq IS NOT NULL")
-    return rows.select("pair_id", "x.mate", (F.col("pair_id") * 2 + F.col("x.mate") - 1).alias("read_id"), "x.seq", "x.skip")
+    return rows.select("pair_id", "x.mate", F.struct("pair_id", F.col("x.mate").alias("mate")).alias("read_id"), "x.seq", "x.skip")
 
 
 def valid_pair(a, b):
@@ -28,15 +28,17 @@ def valid_pair(a, b):
 
 
 def trace(pairs: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:
-    """(pair_id, r1, r2, features, triage) of distinct pairs: r1 and r2 are structs of reason, norm, score and class, triage is null for pairs without a call."""
+    """(pair_id, r1, r2, features, triage) of distinct pairs, whose ids may be of any type: r1 and r2 are structs of reason, norm, score, shown score (0 unless the read itself matched) and class, triage is null for pairs without a call."""
     reads = mates(pairs)
     aligned = align.align_reads(reads.select("read_id", "seq", "skip"), library, cfg)
-    aligned = aligned.withColumn("pair_id", F.floor(F.col("read_id") / 2)).withColumn("mate", (F.col("read_id") % 2 + 1).cast("int"))
-    side = lambda m: F.max(F.when(F.col("mate") == m, F.struct("reason", "norm", "score", "cls")))
+    aligned = aligned.withColumn("pair_id", F.col("read_id.pair_id")).withColumn("mate", F.col("read_id.mate"))
+    shown = F.when(F.col("cls").isNotNull(), F.col("score")).otherwise(0).alias("shown")
+    side = lambda m: F.max(F.when(F.col("mate") == m, F.struct("reason", "norm", "score", shown, "cls")))
     both = aligned.groupBy("pair_id").agg(side(1).alias("r1"), side(2).alias("r2"))
     if cfg.require_valid_pair:
         ok = valid_pair(F.col("r1.cls"), F.col("r2.cls"))
-        drop = lambda m: F.when(F.col(m).isNull() | ok, F.col(m)).otherwise(F.struct(F.lit(align.PAIR).alias("reason"), F.col(f"{m}.norm").alias("norm"), F.col(f"{m}.score").alias("score"), F.lit(None).cast("array<bigint>").alias("cls")))
+        lost = lambda m: F.struct(F.lit(align.PAIR).alias("reason"), *[F.col(f"{m}.{c}").alias(c) for c in ("norm", "score", "shown")], F.lit(None).cast("array<bigint>").alias("cls"))
+        drop = lambda m: F.when(F.col(m).isNull() | ok, F.col(m)).otherwise(lost(m))
         both = both.select("pair_id", drop("r1").alias("r1"), drop("r2").alias("r2"))
     flat = both.select("pair_id", F.explode(F.array(F.struct(F.lit(1).alias("mate"), F.col("r1.cls").alias("cls")), F.struct(F.lit(2).alias("mate"), F.col("r2.cls").alias("cls")))).alias("x")).select("pair_id", "x.mate", "x.cls")
     calls = orient.calls_of(flat, library)
@@ -63,11 +65,10 @@ def audit(pairs: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:
     The score of a filtered read is reported as 0, with its true score beside it. An absent mate has nulls.
     """
     found = trace(dedup_pairs(pairs), library, cfg)
-    shown = lambda m: F.when(F.col(f"{m}.reason") == align.MATCH, F.col(f"{m}.score")).when(F.col(m).isNotNull(), 0)
     return found.select(
         "pair_id",
-        F.col("r1.reason").alias("r1_filter_forward"), shown("r1").alias("r1_forward_score"), F.col("r1.score").alias("r1_true_score"),
-        F.col("r2.reason").alias("r2_filter_forward"), shown("r2").alias("r2_forward_score"), F.col("r2.score").alias("r2_true_score"),
+        F.col("r1.reason").alias("r1_filter_forward"), F.col("r1.shown").alias("r1_forward_score"), F.col("r1.score").alias("r1_true_score"),
+        F.col("r2.reason").alias("r2_filter_forward"), F.col("r2.shown").alias("r2_forward_score"), F.col("r2.score").alias("r2_true_score"),
         F.coalesce("triage", F.lit("None")).alias("triage_reason"), F.array_join(F.coalesce("features", F.array().cast("array<string>")), ",").alias("features"),
     )
 
@@ -86,6 +87,8 @@ def threshold_percentage(scores: DataFrame, least: float) -> DataFrame:
 
 
 def trim_pairs(reads: DataFrame, cfg: Config) -> DataFrame:
-    """Clip adapters and trim (.., seq, quality array, reverse) reads; reads without qualities aren't trimmed."""
-    s, q = seq.clip_adapter(F.col("seq"), F.col("reverse")), seq.clip_quality(F.col("quality"), F.col("reverse"))
-    return reads.withColumn("quality", q).withColumn("seq", seq.trimmed(seq.oriented(s, F.col("reverse")), F.col("quality"), cfg.trim_target_length, cfg.trim_strictness))
+    """Clip adapters and trim (.., seq, quality array, reverse) reads, and add the clipped read as ``raw``; reads without qualities aren't trimmed (with compat: to nothing)."""
+    q = seq.clip_quality(F.col("quality"), F.col("reverse"))
+    reads = reads.withColumn("raw", seq.oriented(seq.clip_adapter(F.col("seq"), F.col("reverse")), F.col("reverse")))
+    reads = reads.withColumn("quality", F.coalesce(q, F.array().cast("array<int>")) if cfg.compat else q)
+    return reads.withColumn("seq", seq.trimmed(F.col("raw"), F.col("quality"), cfg.trim_target_length, cfg.trim_strictness))

@@ -11,10 +11,10 @@ from readloom.plans.config import FALLBACK, FORCE, UNION, Config
 
 #: The states (R1 then R2; F forward, R reverse, U not hit) that each chemistry keeps.
 KEPT = {
-    "none": "FU RU UF UR FF RR FR RF",
-    "unstranded": "FU RU UF UR FR RF",
-    "fiveprime": "FU UR FR",
-    "threeprime": "RU UF RF",
+    "none": ("FU", "RU", "UF", "UR", "FF", "RR", "FR", "RF"),
+    "unstranded": ("FU", "RU", "UF", "UR", "FR", "RF"),
+    "fiveprime": ("FU", "UR", "FR"),
+    "threeprime": ("RU", "UF", "RF"),
 }
 
 
@@ -36,7 +36,7 @@ def settled(found: DataFrame) -> DataFrame:
 
 
 def keeps(chemistry: str) -> Column:
-    return F.concat("r1", "r2").isin(KEPT[chemistry].split())
+    return F.concat("r1", "r2").isin(*KEPT[chemistry])
 
 
 def strand_conflict(calls: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def verdict(names: Column, failed: Column, cfg: Config) -> tuple[Column, Column]
     """Features and triage reason of a pair: lists longer than discard_multi_hits are emptied, then too many or no features drop the pair."""
     if cfg.discard_multi_hits:
         names = F.when(F.size(names) > cfg.discard_multi_hits, F.array().cast("array<string>")).otherwise(names)
-    why = F.when(failed, FORCE_FAILED).when(F.size(names) > cfg.max_hits_to_report, MAX_HITS).when(F.size(names) == 0, EMPTY).otherwise(MATCH)
+    why = F.when(failed, EMPTY if cfg.compat else FORCE_FAILED).when(F.size(names) > cfg.max_hits_to_report, MAX_HITS).when(F.size(names) == 0, EMPTY).otherwise(MATCH)
     return seq.natural_sort(names), why
 
 

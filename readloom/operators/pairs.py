@@ -39,18 +39,20 @@ def dummy_mates(records: DataFrame) -> DataFrame:
     return records.withColumn("skip", F.explode(F.when(F.col("paired"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
 
 
-def pair_by_name(records: DataFrame) -> DataFrame:
-    """(umi, cell, qname, pos1, pos2) of records that share a name within a molecule and follow each other; the first in template is mate 1.
+def pair_by_name(records: DataFrame, *carry: str) -> DataFrame:
+    """(file, umi, cell, qname, pos1, pos2) of records that share a name within a molecule of a file and follow each other; the first in template is mate 1.
 
-    In a molecule, by cell tag and file position, each record pairs with the next one if that has its name and it is not
-    the second of a pair already; other records are dropped.
+    In a molecule, by file position (and a read before its dummy), each record pairs with the next one if that has its name and it is not
+    the second of a pair already; other records are dropped. Columns to carry come as one for each mate, numbered.
     """
-    w = Window.partitionBy("umi", "cell").orderBy("cell", "file_pos")
+    keys, order = ["file", "umi", "cell"], ["file_pos", *(["skip"] if "skip" in records.columns else [])]
+    w = Window.partitionBy(*keys).orderBy(*order)
     rows = records.withColumn("n", F.row_number().over(w)).withColumn("prev", F.lag("qname").over(w))
     rows = rows.withColumn("start", F.last(F.when(~F.col("qname").eqNullSafe(F.col("prev")), F.col("n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("k", F.floor((F.col("n") - F.coalesce("start", F.lit(1))) / 2))
-    two = rows.groupBy("umi", "cell", "qname", "start", "k").agg(F.count("*").alias("c"), F.min(F.struct((~F.col("first")).cast("int").alias("o"), F.col("file_pos").alias("p"))).alias("a"), F.max(F.struct((~F.col("first")).cast("int").alias("o"), F.col("file_pos").alias("p"))).alias("b"))
-    return two.where("c = 2").select("umi", "cell", "qname", F.col("a.p").alias("pos1"), F.col("b.p").alias("pos2"))
+    one = F.struct((~F.col("first")).cast("int").alias("o"), F.col("file_pos").alias("pos"), *carry)
+    two = rows.groupBy(*keys, "qname", "start", "k").agg(F.count("*").alias("c"), F.min(one).alias("a"), F.max(one).alias("b")).where("c = 2")
+    return two.select(*keys, "qname", *[F.col(f"{side}.{c}").alias(f"{c}{n}") for c in ("pos", *carry) for n, side in ((1, "a"), (2, "b"))])
 
 
 def umi_counts(calls: DataFrame) -> DataFrame:
@@ -59,9 +61,9 @@ def umi_counts(calls: DataFrame) -> DataFrame:
 
 
 def unscored(pairs: DataFrame, scored: DataFrame) -> DataFrame:
-    """Pairs whose name isn't among the scored ones, with no features and score 0; molecules without any call have none."""
-    called = scored.select("umi", "cell").distinct()
-    rest = pairs.join(scored.select("umi", "cell", "qname"), ["umi", "cell", "qname"], "left_anti").join(called, ["umi", "cell"], "left_semi")
+    """Pairs whose name isn't among the scored ones of their molecule, with no features and score 0; molecules without any call have none."""
+    keys = [c for c in ("file", "umi", "cell") if c in scored.columns]
+    rest = pairs.join(scored.select(*keys, "qname").distinct(), [*keys, "qname"], "left_anti").join(scored.select(*keys).distinct(), keys, "left_semi")
     return rest.withColumn("features", F.lit("")).withColumn("score", F.lit(0).cast("long"))
 
 

@@ -24,6 +24,9 @@ class Config:
     trim_strictness: float = 0.9
     chemistry: str = "none"
     discard_nonzero_mismatch: bool = False
+    #: Reproduce odd behaviour of existing outputs: mates swapped in BAM results, a failed forced intersection reported as an empty
+    #: class, tags that aren't text left empty, a lone read in the second slot, reads without qualities trimmed away.
+    compat: bool = False
 
     def __post_init__(self) -> None:
         for f in fields(self):
@@ -47,7 +50,7 @@ class Config:
 
 
 #: Keys that a library file must hold.
-REQUIRED = tuple(f.name for f in fields(Config) if f.name not in ("chemistry", "discard_nonzero_mismatch"))
+REQUIRED = tuple(f.name for f in fields(Config) if f.name not in ("chemistry", "discard_nonzero_mismatch", "compat"))
 
 
 def from_json(found: dict, chemistry: str = "none") -> Config:

@@ -6,13 +6,15 @@ calls of order pairs, events are records of molecules.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import seq
 from readloom.operators import align, counts, orient, pairs
-from readloom.plans import scratch
-from readloom.plans.config import CHEMISTRIES, Config
+from readloom.plans import jobs, scratch
+from readloom.plans.config import CHEMISTRIES, REQUIRED, Config
 from readloom.sources import bam, fastq, library, sinks
 
 _MADE: dict = {}
@@ -268,7 +270,7 @@ def states_sql(calls: str) -> str:
 
 
 def keeps_sql(chemistry: str) -> str:
-    return "r1 || r2 IN (" + ", ".join(f"'{x}'" for x in orient.KEPT[chemistry].split()) + ")"
+    return "r1 || r2 IN (" + ", ".join(f"'{x}'" for x in orient.KEPT[chemistry]) + ")"
 
 
 def sets_sql(cfg: Config, name: str = "feature") -> str:
@@ -476,9 +478,9 @@ def _(spark, sf_dir):
 
 @query(
     "pair_by_name",
-    f"WITH r AS (SELECT *, row_number() OVER o AS n, lag(qname) OVER o AS prev FROM ({_EVENTS}) WINDOW o AS (PARTITION BY umi, cell ORDER BY file_pos)), "
-    "s AS (SELECT *, max(CASE WHEN qname IS DISTINCT FROM prev THEN n END) OVER (PARTITION BY umi, cell ORDER BY n) AS start FROM r) "
-    "SELECT umi, cell, qname, arg_min(file_pos, CASE WHEN first THEN 0 ELSE 1000000000 END + file_pos) AS pos1, arg_max(file_pos, CASE WHEN first THEN 0 ELSE 1000000000 END + file_pos) AS pos2 FROM s GROUP BY umi, cell, qname, start, (n - start) // 2 HAVING count(*) = 2",
+    f"WITH r AS (SELECT *, row_number() OVER o AS n, lag(qname) OVER o AS prev FROM ({_EVENTS}) WINDOW o AS (PARTITION BY file, umi, cell ORDER BY file_pos)), "
+    "s AS (SELECT *, max(CASE WHEN qname IS DISTINCT FROM prev THEN n END) OVER (PARTITION BY file, umi, cell ORDER BY n) AS start FROM r) "
+    "SELECT file, umi, cell, qname, arg_min(file_pos, CASE WHEN first THEN 0 ELSE 1000000000 END + file_pos) AS pos1, arg_max(file_pos, CASE WHEN first THEN 0 ELSE 1000000000 END + file_pos) AS pos2 FROM s GROUP BY file, umi, cell, qname, start, (n - start) // 2 HAVING count(*) = 2",
 )
 def _(spark, sf_dir):
     return pairs.pair_by_name(records(spark, sf_dir))
@@ -524,34 +526,41 @@ def _(spark, sf_dir):
     return fastq.read_fastq(spark, out).select("name", "seq", F.length("qual").cast("long").alias("n"))
 
 
-def _bam_file(folder: str):
+def _bam_file(folder: str, record):
+    """Each task writes its rows as one file, named by its number, so that a repeated attempt replaces it."""
+
     def run(batches):
         import re
-        import uuid
 
         import pyarrow as pa
         from pyarrow import fs
+        from pyspark import TaskContext
 
-        rows = [r for b in batches for r in b.to_pylist()]
-        if rows:
-            system, base = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
-            name = f"{uuid.uuid4().hex}.bam"
-            with system.open_output_stream(f"{base}/{name}") as f:
-                f.write(bam.encode([(r["name"], 16 * (r["id"] % 2) + 4, -1, -1, 0, "", -1, -1, 0, r["seq"], [r["id"] % 40] * len(r["seq"]), {"CB": r["cell"], "UR": r["name"]}) for r in rows]))
-            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
+        system, base = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
+        name = f"part-{TaskContext.get().partitionId():06d}.bam"
+        with system.open_output_stream(f"{base}/{name}") as f:
+            for block in bam.encoded(x for b in batches for r in b.to_pylist() for x in record(r)):
+                f.write(block)
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
 
     return run
 
 
-def bam_rows(spark, sf_dir) -> DataFrame:
+def written_bam(rows: DataFrame, record) -> DataFrame:
+    """The alignments of BAM files that hold what record() makes of each row."""
+    spark = rows.sparkSession
     out = scratch.path(spark, "bam")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("cell"), F.translate(F.lpad(F.col("c_custkey").cast("string"), 11, "0"), "0123456789", "ACGTACGTAC").alias("seq"))
-    rows.mapInArrow(_bam_file(out), "file string").count()  # each task writes one file
+    rows.mapInArrow(_bam_file(out, record), "file string").count()
     return bam.read_bam(spark, out)
 
 
+def bam_rows(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("cell"), F.translate(F.lpad(F.col("c_custkey").cast("string"), 11, "0"), "0123456789", "ACGTACGTAC").alias("seq"))
+    return written_bam(rows, lambda r: [(r["name"], 16 * (r["id"] % 2) + 4, -1, -1, 0, "", -1, -1, 0, r["seq"], [r["id"] % 40] * len(r["seq"]), {"CB": r["cell"], "UR": r["name"]})])
+
+
 _BAM = "SELECT c_name AS qname, (16 * (c_custkey % 2) + 4)::INTEGER AS flag, translate(lpad(c_custkey::VARCHAR, 11, '0'), '0123456789', 'ACGTACGTAC') AS seq, c_mktsegment AS cb, c_custkey % 40 AS q FROM customer"
 
 
@@ -563,3 +572,55 @@ def _(spark, sf_dir):
 @query("record_projection", f"SELECT qname AS \"QNAME\", seq AS \"SEQ\", cb AS \"CB\", qname AS \"UR\", '' AS \"UB\", CASE WHEN flag >= 16 THEN 'true' ELSE 'false' END AS \"REVERSE\", CASE WHEN flag >= 16 THEN '-' ELSE '+' END AS \"STRAND\", repeat(chr((q + 33)::INTEGER), length(seq)) AS \"QUAL\", length(seq)::VARCHAR AS \"SEQ_LEN\" FROM ({_BAM})")
 def _(spark, sf_dir):
     return bam.project(bam_rows(spark, sf_dir)).select("QNAME", "SEQ", "CB", "UR", "UB", "REVERSE", "STRAND", "QUAL", "SEQ_LEN")
+
+
+def library_file(spark, sf_dir, cfg: Config) -> tuple[Config, DataFrame]:
+    """The benchmark's passages as a library file, written and loaded."""
+    settings = {k: getattr(cfg, k) for k in REQUIRED} | {"group_on": "grp"}
+    columns = raw_library(spark, sf_dir).orderBy("row").agg(*[F.collect_list(F.col(c).cast("string")) for c in ("feature", "grp", "sequence", "row")])
+    text = columns.select(F.to_json(F.struct(F.array(*[F.lit(x) for x in ("sequence_name", "grp", "sequence", "number")]).alias("headers"), F.array(*[F.col(f"`{c}`") for c in columns.columns]).alias("columns"))).alias("t"))
+    out = scratch.path(spark, "library")
+    text.select(F.concat(F.lit("[" + json.dumps(settings) + ","), "t", F.lit("]")).alias("value")).coalesce(1).write.text(out)
+    return library.load_library(spark, out, cfg.chemistry)
+
+
+@query("library_file", "WITH " + _LIB + "SELECT ref_idx, feature, is_rev, grp, sequence, 60 AS score_threshold, 40 AS trim_target_length FROM (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, item_id FROM benchmark) JOIN lib ON ref_idx // 2 = item_id")
+def _(spark, sf_dir):
+    cfg, rows = library_file(spark, sf_dir, BASE)
+    number = F.regexp_extract("feature", "[0-9]+", 0).cast("long") * 2 + F.col("is_rev").cast("long")
+    return rows.select(number.alias("ref_idx"), "feature", "is_rev", "grp", "sequence", F.lit(cfg.score_threshold).alias("score_threshold"), F.lit(cfg.trim_target_length).alias("trim_target_length"))
+
+
+_BAM_CONFIG = Config(score_threshold=40, num_mismatches=1, chemistry="unstranded")
+_SHOWN = "CASE WHEN {0}.reason = '" + align.MATCH + "' THEN {0}.score ELSE 0 END"
+
+
+@query(
+    "bam_audit",
+    _D.rstrip() + ", " + _LIB.rstrip()
+    + f", p AS (SELECT doc_id AS pair_id, 'U' || doc_id // 3 AS umi, 'c' || doc_id // 3 % 5 AS cell, 'q' || doc_id AS qname, doc_id % 4 = 0 AS lone, substr(dna, 1, 120) AS a, CASE WHEN doc_id % 4 = 0 THEN '' ELSE {_RC.format('substr(dna, 61, 120)')} END AS b FROM (SELECT doc_id, dna FROM d UNION ALL SELECT 3000000 + row, dna FROM b) WHERE length(dna) >= 70), "
+    + align_sql("SELECT pair_id * 2 AS read_id, a AS seq FROM p UNION ALL SELECT pair_id * 2 + 1, b FROM p WHERE NOT lone").rstrip()
+    + f", rs AS (SELECT reads.read_id, {reason_sql(_BAM_CONFIG)} AS reason, coalesce(score, 0)::BIGINT AS score, cls FROM reads LEFT JOIN al USING (read_id)), m AS (SELECT * FROM rs WHERE reason = '{align.MATCH}'), "
+    + states_sql("SELECT read_id // 2 AS pair_id, read_id % 2 + 1 AS mate, feature, is_rev, feature AS grp FROM (SELECT read_id, unnest(cls) AS ref_idx FROM m) JOIN lib USING (ref_idx)").rstrip()
+    + f", called AS (SELECT DISTINCT pair_id FROM calls), kept AS (SELECT st.* FROM st WHERE {keeps_sql('unstranded')}), "
+    + sets_sql(_BAM_CONFIG)
+    + f", rep AS (SELECT umi, cell, a, b, max(pair_id) AS pair_id FROM p GROUP BY ALL), f AS (SELECT umi, cell, features, count(*) AS score, max(pair_id) AS pair_id FROM rep JOIN tr USING (pair_id) WHERE triage = '{align.MATCH}' GROUP BY ALL), "
+    "x AS (SELECT features, score, pair_id, pair_id AS audited FROM f UNION ALL SELECT '', 0, p.pair_id, rep.pair_id FROM p JOIN rep USING (umi, cell, a, b) WHERE umi IN (SELECT umi FROM f) AND p.pair_id NOT IN (SELECT pair_id FROM f)) "
+    "SELECT x.features, x.score, qname AS \"r1_QNAME\", cell || '-1' AS \"r1_CB\", umi AS \"r2_UB\", CASE WHEN lone THEN 'TRUE' ELSE 'FALSE' END AS \"r2_SKIP_ALIGN\", "
+    f"r1.reason AS r1_filter_forward, {_SHOWN.format('r1')} AS r1_forward_score, CASE WHEN lone THEN '{align.DUMMY}' ELSE r2.reason END AS r2_filter_forward, coalesce({_SHOWN.format('r2')}, 0) AS r2_forward_score, "
+    f"CASE WHEN coalesce(triage, '{align.MATCH}') = '{align.MATCH}' THEN 'None' ELSE triage END AS triage_reason, 'None' AS aligndirection "
+    "FROM x JOIN p USING (pair_id) JOIN rs r1 ON r1.read_id = audited * 2 LEFT JOIN rs r2 ON r2.read_id = audited * 2 + 1 LEFT JOIN (SELECT pair_id AS audited, triage FROM tr) t USING (audited)",
+)
+def _(spark, sf_dir):
+    passages = raw_library(spark, sf_dir).select((F.col("row") + 3_000_000).alias("doc_id"), F.col("sequence").alias("dna"))
+    rows = dna(spark, sf_dir).select("doc_id", "dna").unionAll(passages).where(F.length("dna") >= 70).select("doc_id", F.substring("dna", 1, 120).alias("a"), F.substring("dna", 61, 120).alias("b"))
+    rows = rows.repartition(F.floor(F.col("doc_id") / 3)).sortWithinPartitions("doc_id")
+
+    def record(r):
+        k = r["doc_id"]
+        one = lambda flag, s: (f"q{k}", flag, -1, -1, 0, "", -1, -1, 0, s, None, {"CB": f"c{k // 3 % 5}-1", "UB": f"U{k // 3}"})
+        return [one(0, r["a"])] if k % 4 == 0 else [one(65, r["a"]), one(145, r["b"])]
+
+    found = jobs.bam_result(written_bam(rows, record), lib(spark, sf_dir), _BAM_CONFIG)
+    shown = ("features", "score", "r1_QNAME", "r1_CB", "r2_UB", "r2_SKIP_ALIGN", "r1_filter_forward", "r1_forward_score", "r2_filter_forward", "r2_forward_score", "triage_reason", "aligndirection")
+    return found.select(*[F.col(c).cast("long").alias(c) if c.endswith("score") else c for c in shown])

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -23,6 +23,13 @@ def path(spark: SparkSession, name: str) -> str:
     return out
 
 
+def hold(df: DataFrame, name: str) -> DataFrame:
+    """Write df once and read it back, where several queries follow."""
+    out = path(df.sparkSession, name)
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 @atexit.register
 def clear() -> None:
     while _made:

@@ -16,10 +16,10 @@ FLAGS = {"PAIRED": 1, "PROPER_PAIRED": 2, "UNMAPPED": 4, "MATE_UNMAPPED": 8, "RE
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 #: The fields of a projected record, in order.
 FIELDS = (
-    "QNAME QUAL REVERSE MATE_REVERSE PAIRED PROPER_PAIRED PAIR_ORIENTATION UNMAPPED MATE_UNMAPPED FIRST_IN_TEMPLATE LAST_IN_TEMPLATE STRAND MAPQ POS MATE_POS SEQ SEQ_LEN INSERT_SIZE "
-    "QUALITY_FAILED SECONDARY DUPLICATE SUPPLEMENTARY NH HI AS GN TX AN nM fx RE CR CY CB UR UY UB SKIP_ALIGN"
-).split()
-SCHEMA = "file string, file_pos long, qname string, flag int, ref_id int, pos int, mapq int, cigar string, mate_ref int, mate_pos int, insert_size int, seq string, quality array<int>, tags map<string,string>"
+    "QNAME", "QUAL", "REVERSE", "MATE_REVERSE", "PAIRED", "PROPER_PAIRED", "PAIR_ORIENTATION", "UNMAPPED", "MATE_UNMAPPED", "FIRST_IN_TEMPLATE", "LAST_IN_TEMPLATE", "STRAND", "MAPQ", "POS", "MATE_POS", "SEQ", "SEQ_LEN",
+    "INSERT_SIZE", "QUALITY_FAILED", "SECONDARY", "DUPLICATE", "SUPPLEMENTARY", "NH", "HI", "AS", "GN", "TX", "AN", "nM", "fx", "RE", "CR", "CY", "CB", "UR", "UY", "UB", "SKIP_ALIGN",
+)
+SCHEMA = "file string, file_pos long, qname string, flag int, ref_id int, pos int, mapq int, cigar string, mate_ref int, mate_pos int, insert_size int, seq string, quality array<int>, tags map<string,string>, texts array<string>"
 
 
 def blocks(f):
@@ -58,8 +58,9 @@ class Stream:
         return struct.unpack("<i", self.take(4))[0]
 
 
-def tags_of(data: bytes) -> dict[str, str]:
-    out, at = {}, 0
+def tags_of(data: bytes) -> tuple[dict[str, str], list[str]]:
+    """All tags as text, and the names of those that are text."""
+    out, texts, at = {}, [], 0
     while at < len(data):
         name, kind, at = data[at : at + 2].decode(), chr(data[at + 2]), at + 3
         if kind == "A":
@@ -67,6 +68,8 @@ def tags_of(data: bytes) -> dict[str, str]:
         elif kind in "ZH":
             end = data.index(0, at)
             value, at = data[at:end].decode("utf-8", "replace"), end + 1
+            if kind == "Z":
+                texts.append(name)
         elif kind == "B":
             sub, n = chr(data[at]), struct.unpack_from("<I", data, at + 1)[0]
             form = f"<{n}{NUMBERS[sub]}"
@@ -75,7 +78,7 @@ def tags_of(data: bytes) -> dict[str, str]:
             form = "<" + NUMBERS[kind]
             value, at = str(struct.unpack_from(form, data, at)[0]), at + struct.calcsize(form)
         out[name] = value
-    return out
+    return out, texts
 
 
 def records(f):
@@ -97,13 +100,19 @@ def records(f):
             packed, at = data[at : at + (n + 1) // 2], at + (n + 1) // 2
             bases = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n]
             quality = None if not n or data[at] == 255 else list(data[at : at + n])
-            yield data[32 : 31 + l_name].decode(), flag, ref, pos, mapq, "".join(f"{o >> 4}{'MIDNSHP=X'[o & 15]}" for o in ops), mate_ref, mate_pos, insert, bases, quality, tags_of(data[at + n :])
+            yield data[32 : 31 + l_name].decode(), flag, ref, pos, mapq, "".join(f"{o >> 4}{'MIDNSHP=X'[o & 15]}" for o in ops), mate_ref, mate_pos, insert, bases, quality, *tags_of(data[at + n :])
         except (struct.error, ValueError, KeyError, IndexError, UnicodeDecodeError):
             continue
 
 
-def encode(rows, references=()) -> bytes:
-    """A BAM file of (qname, flag, ref_id, pos, mapq, cigar, mate_ref, mate_pos, insert_size, seq, quality, tags) rows, tags as strings."""
+def encoded(rows, references=(), size: int = 60000):
+    """The blocks of a BAM file of (qname, flag, ref_id, pos, mapq, cigar, mate_ref, mate_pos, insert_size, seq, quality, tags) rows, tags as strings; ``size`` bytes to a block."""
+
+    def block(part: bytes) -> bytes:
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        raw = packer.compress(part) + packer.flush()
+        return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(raw) + 25) + raw + struct.pack("<II", zlib.crc32(part), len(part))
+
     body = b"BAM\x01" + struct.pack("<ii", 0, len(references))
     for name, n in references:
         body += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", n)
@@ -114,12 +123,16 @@ def encode(rows, references=()) -> bytes:
         data += bytes((a << 4) | b for a, b in zip(codes[::2], codes[1::2])) + (bytes(quality) if quality is not None else b"\xff" * len(seq))
         data += b"".join(k.encode() + b"Z" + v.encode() + b"\0" for k, v in tags.items())
         body += struct.pack("<i", len(data)) + data
-    out = b""
-    for part in [body[k : k + 60000] for k in range(0, len(body), 60000)] + [b""]:
-        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
-        raw = packer.compress(part) + packer.flush()
-        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(raw) + 25) + raw + struct.pack("<II", zlib.crc32(part), len(part))
-    return out
+        while len(body) >= size:
+            yield block(body[:size])
+            body = body[size:]
+    if body:
+        yield block(body)
+    yield block(b"")
+
+
+def encode(rows, references=(), size: int = 60000) -> bytes:
+    return b"".join(encoded(rows, references, size))
 
 
 class _File(InputPartition):
@@ -169,8 +182,8 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("bam").load(path)
 
 
-def project(rows: DataFrame) -> DataFrame:
-    """The FIELDS of each record as strings: the tag of that name, else the record's own value, else empty; with file and file_pos."""
+def project(rows: DataFrame, texts_only: bool = False) -> DataFrame:
+    """The FIELDS of each record as strings: the tag of that name (only if it is text, if asked), else the record's own value, else empty; with file and file_pos."""
     flag = lambda name: F.when(F.col("flag").bitwiseAND(FLAGS[name]) != 0, "true").otherwise("false")
     own = {name: flag(name) for name in FLAGS}
     reverse, mate_reverse = F.col("flag").bitwiseAND(16) != 0, F.col("flag").bitwiseAND(32) != 0
@@ -179,4 +192,5 @@ def project(rows: DataFrame) -> DataFrame:
     side = lambda back: F.when(back, "R").otherwise("F")
     paired = (F.col("flag").bitwiseAND(1) != 0) & (F.col("flag").bitwiseAND(12) == 0) & (F.col("ref_id") == F.col("mate_ref"))
     own["PAIR_ORIENTATION"] = F.when(paired, F.concat(side(F.when(F.col("pos") <= F.col("mate_pos"), reverse).otherwise(mate_reverse)), F.lit("1"), side(F.when(F.col("pos") <= F.col("mate_pos"), mate_reverse).otherwise(reverse)), F.lit("2"))).otherwise("")
-    return rows.select("file", "file_pos", *[F.coalesce(F.col("tags")[name], own.get(name, F.lit("")), F.lit("")).alias(name) for name in FIELDS], "quality")
+    tag = lambda name: F.when(F.array_contains("texts", name), F.col("tags")[name]) if texts_only else F.col("tags")[name]
+    return rows.select("file", "file_pos", *[F.coalesce(tag(name), own.get(name, F.lit("")), F.lit("")).alias(name) for name in FIELDS], "quality")

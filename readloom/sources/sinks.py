@@ -21,10 +21,10 @@ def write_counts(counts: DataFrame, path: str, ragged: bool = False, mode: str =
     rows.write.mode(mode).option("sep", "\t").option("header", True).option("quote", "").csv(path)
 
 
-def metadata(side: str) -> list:
-    """The fields of a mate's record that the audit shows, with the mate's prefix."""
-    return [F.col(f"{side}.`{f}`").alias(f"{side}_{f}") for f in FIELDS if f not in HIDDEN]
+def metadata(side: str, name: str | None = None) -> list:
+    """The fields of a mate's record that the audit shows, with the mate's prefix (or another name)."""
+    return [F.col(f"{side}.`{f}`").alias(f"{name or side}_{f}") for f in FIELDS if f not in HIDDEN]
 
 
 def write_audit(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+    rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").option("compression", "gzip").csv(path)

@@ -1,13 +1,18 @@
 """The command line over FASTQ and BAM files."""
 
+import io
 import json
 import random
+import zlib
 
 import pytest
 
 from readloom import cli
-from readloom.plans.jobs import file_kind
+from readloom.operators.orient import triage
+from readloom.plans.config import Config
+from readloom.plans.jobs import bam_result, file_kind
 from readloom.sources import bam
+from readloom.sources.library import load_library
 from tests.test_calling import CONFIG, RC
 
 RNG = random.Random(3)
@@ -27,21 +32,86 @@ def test_fastq_counts(spark, files):
     assert [tuple(r) for r in got] == [("gene", "5")]
 
 
-def test_bam_molecules(spark, files):
-    def pair(name, umi, at):
-        tags = {"CB": "AAAC-1", "UB": umi}
-        return [(name, 99, 0, at, 60, "90M", 0, at + 100, 190, GENE[at : at + 90], [40] * 90, tags), (name, 147, 0, at + 100, 60, "90M", 0, at, -190, RC(GENE[at + 100 : at + 190]), [40] * 90, tags)]
+def mate_pair(name, umi, at, cell="AAAC-1", quality=40, **tags):
+    """Two records of 90 bases, 100 apart; the reverse one is stored along the gene, as files do."""
+    tags = {"CB": cell, "UB": umi, "AS": "x", **tags}
+    q = None if quality is None else [quality] * 90
+    return [(name, 99, 0, at, 60, "90M", 0, at + 100, 190, GENE[at : at + 90], q, tags), (name, 147, 0, at + 100, 60, "90M", 0, at, -190, GENE[at + 100 : at + 190], q, tags)]
 
-    # reverse records are stored along the reference; the decoder turns them back
-    rows = [r for k in range(3) for r in pair(f"q{k}", "ACGTACGTAA", 5 * k)] + pair("q9", "CCCCCCCCCC", 50) + pair("p", "A" * 10, 3)
-    rows += [("u", 0, 0, 9, 60, "90M", -1, -1, 0, GENE[9:99], None, {"CB": "TTT-1", "UR": "GGGGGGGGGG"}), ("n", 0, 0, 9, 60, "90M", -1, -1, 0, GENE[9:99], None, {})]
+
+def lone(name, umi, flag=0, seq=None, quality=None, cell="TTT-1"):
+    seq = GENE[9:99] if seq is None else seq
+    return [(name, flag, 0, 9, 60, "90M", -1, -1, 0, seq, quality, {"CB": cell, "UR": umi})]
+
+
+def result(spark, files, *more, chemistry="none", path="x.bam"):
+    out = str(files / f"out{len(list(files.iterdir()))}")
+    cli.main(["-r", str(files / "lib.json"), "-o", out, "-i", str(files / path), "-f", chemistry, *more], spark)
+    return spark.read.option("sep", "\t").option("header", True).csv(out).fillna("").collect()
+
+
+def test_bam_result_has_the_whole_record(spark, files):
+    rows = [r for k in range(3) for r in mate_pair(f"q{k}", "ACGTACGTAA", 5 * k)] + mate_pair("same", "ACGTACGTAA", 10) + mate_pair("q9", "CCCCCCCCCC", 50) + mate_pair("p", "A" * 10, 3)
+    off = "".join(RNG.choice("ACGT") for _ in range(90))
+    rows += lone("u", "GGGGGGGGGG") + lone("miss", "GGGGGGGGGG", seq=off) + lone("short", "GGGGGGGGGG", seq="ACGTA" * 5) + lone("dull", "GGGGGGGGGG", seq="A" * 90) + lone("nothing", "TTTTTTTTTT", seq=off) + [("n", 0, 0, 9, 60, "90M", -1, -1, 0, GENE[9:99], None, {})]
     (files / "x.bam").write_bytes(bam.encode(rows))
-    cli.main(["-r", str(files / "lib.json"), "-o", str(files / "all"), "-i", str(files / "x.bam"), "-f", "none"], spark)
-    got = {(r["umi"], r["cell"], r["features"], r["score"]) for r in spark.read.option("sep", "\t").option("header", True).csv(str(files / "all")).collect()}
-    assert ("ACGTACGTAA", "AAAC", "gene", "3") in got and ("CCCCCCCCCC", "AAAC", "gene", "1") in got and ("GGGGGGGGGG", "TTT", "gene", "1") in got
-    assert not any(u == "A" * 10 for u, *_ in got)
-    cli.main(["-r", str(files / "lib.json"), "-o", str(files / "paired"), "-i", str(files / "x.bam"), "-f", "none", "-p"], spark)
-    assert not spark.read.option("sep", "\t").option("header", True).csv(str(files / "paired")).where("umi = 'GGGGGGGGGG'").count()
+    got = result(spark, files)
+    assert len(got[0]) == 84 and got[0].__fields__[:3] == ["features", "score", "r1_QNAME"]
+    assert not {"r1_QUAL", "r1_SEQ", "r2_QUAL", "r2_SEQ"} & set(got[0].__fields__)
+    shown = {(r["r1_UB"] or r["r1_UR"], r["features"], r["score"], r["r1_QNAME"]) for r in got}
+    # four pairs, two of them equal: three calls, shown by the last; pairs of other names follow with score 0
+    assert {x for x in shown if x[0] == "ACGTACGTAA"} == {("ACGTACGTAA", "gene", "3", "same"), *(("ACGTACGTAA", "", "0", f"q{k}") for k in range(3))}
+    assert {x for x in shown if x[0] == "CCCCCCCCCC"} == {("CCCCCCCCCC", "gene", "1", "q9")}
+    assert {x[0] for x in shown} == {"ACGTACGTAA", "CCCCCCCCCC", "GGGGGGGGGG"}
+    q9 = next(r for r in got if r["r1_QNAME"] == "q9")
+    assert (q9["r1_POS"], q9["r2_POS"], q9["r1_REVERSE"], q9["r2_REVERSE"], q9["r2_STRAND"], q9["r1_SKIP_ALIGN"], q9["r2_INSERT_SIZE"]) == ("50", "150", "false", "true", "-", "FALSE", "-190")
+    assert [q9[c] for c in got[0].__fields__[-10:]] == ["Successful Match", "90", "None", "0", "Successful Match", "90", "None", "0", "None", "None"]
+    reasons = {r["r1_QNAME"]: (r["features"], r["r1_filter_forward"], r["r1_forward_score"], r["r2_filter_forward"], r["r2_forward_score"], r["r2_SKIP_ALIGN"]) for r in got if r["r1_UR"] == "GGGGGGGGGG"}
+    dummy = "SKipped Align Due To Unpaired Dummy Read"
+    assert reasons == {"u": ("gene", "Successful Match", "90", dummy, "0", "TRUE"), "miss": ("", "No Match", "0", dummy, "0", "TRUE"), "short": ("", "Short Read", "0", dummy, "0", "TRUE"), "dull": ("", "Low Entropy", "0", dummy, "0", "TRUE")}
+    assert not [r for r in result(spark, files, "-p") if r["r1_UR"] == "GGGGGGGGGG"]
+
+
+def test_bam_chemistry_and_valid_pairs_show_in_the_result(spark, files):
+    (files / "x.bam").write_bytes(bam.encode(mate_pair("q", "ACGTACGTAA", 5) + lone("a", "ACGTACGTAA", 16, cell="AAAC-1")))
+    got = {r["r1_QNAME"]: (r["features"], r["triage_reason"]) for r in result(spark, files, chemistry="fiveprime")}
+    assert got == {"q": ("gene", "None"), "a": ("", "Equivalence Class Empty After Filters")}
+    (files / "lib.json").write_text(json.dumps([CONFIG | {"require_valid_pair": True}, {"headers": ["sequence_name", "sequence"], "columns": [["gene", "other"], [GENE, RC(GENE[::-1])]]}]))
+    assert {r["r1_filter_forward"] for r in result(spark, files)} <= {"Successful Match", "Required Valid Pair Not Matching"}
+
+
+def test_two_bam_files_keep_their_pairs_apart(spark, files):
+    (files / "two").mkdir()
+    (files / "two" / "a.bam").write_bytes(bam.encode(mate_pair("a", "ACGTACGTAA", 5) + mate_pair("b", "ACGTACGTAA", 9)))
+    (files / "two" / "b.bam").write_bytes(bam.encode(mate_pair("c", "ACGTACGTAA", 20) + lone("d", "ACGTACGTAA", cell="AAAC-1")))
+    rows = bam.read_bam(spark, str(files / "two"))
+    config, lib = load_library(spark, str(files / "lib.json"), "none")
+    got = sorted((r["features"], r["score"], r["r1_QNAME"], r["r2_QNAME"], r["r1_POS"]) for r in bam_result(rows, lib, config).collect())
+    assert got == [("", 0, "a", "a", "5"), ("", 0, "c", "c", "20"), ("gene", 2, "b", "b", "9"), ("gene", 2, "d", "d", "9")]
+
+
+def test_compat_reproduces_the_odd_cases(spark, files):
+    (files / "x.bam").write_bytes(bam.encode(mate_pair("q", "ACGTACGTAA", 5) + lone("u", "GGGGGGGGGG", quality=[40] * 90) + lone("v", "GGGGGGGGGG", seq=GENE[20:110])))
+    plain, odd = ({r["r1_QNAME"]: r for r in result(spark, files, *more)} for more in ((), ("--compat",)))
+    assert (plain["q"]["r1_POS"], odd["q"]["r1_POS"]) == ("5", "105")  # mates are swapped
+    # a lone read sits in the second slot, which is shown first
+    assert plain["u"]["r2_SKIP_ALIGN"] == odd["u"]["r2_SKIP_ALIGN"] == "TRUE" and odd["u"]["features"] == "gene"
+    assert plain["v"]["r1_filter_forward"] == "Successful Match" and odd["v"]["r1_filter_forward"] == "Short Read"  # no qualities
+    config = Config(intersect_level=2, compat=True)
+    sets = spark.createDataFrame([(1, [], True)], "pair_id long, names array<string>, failed boolean")
+    assert [triage(sets, c).first()["triage"] for c in (config, Config(intersect_level=2))] == ["Equivalence Class Empty After Filters", "Force Intersect Failure"]
+
+
+def test_tags_that_are_not_text(spark, files):
+    raw = b"".join(bam.blocks(io.BytesIO(bam.encode(lone("u", "GG")))))
+    size = int.from_bytes(raw[12:16], "little")
+    new = raw[:12] + (size + 7).to_bytes(4, "little") + raw[16 : 16 + size] + b"NHi" + (5).to_bytes(4, "little")
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    data = packer.compress(new) + packer.flush()
+    block = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + (len(data) + 25).to_bytes(2, "little") + data + zlib.crc32(new).to_bytes(4, "little") + len(new).to_bytes(4, "little")
+    (files / "t.bam").write_bytes(block)
+    rows = bam.read_bam(spark, str(files / "t.bam"))
+    assert [(r["NH"], r["CB"]) for r in bam.project(rows).collect() + bam.project(rows, True).collect()] == [("5", "TTT-1"), ("", "TTT-1")]
 
 
 def test_file_kinds():

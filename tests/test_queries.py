@@ -8,7 +8,7 @@ from readloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ("entropy", "maxinfo", "natural_sort", "kmer_index", "pseudoalign", "feature_counts", "counts_paired_fallback", "audit_rows", "orient_unstranded", "triage", "umi_groups", "pair_by_name", "fastq_scan", "record_projection")
+QUICK = ("entropy", "maxinfo", "natural_sort", "kmer_index", "pseudoalign", "feature_counts", "counts_paired_fallback", "audit_rows", "orient_unstranded", "triage", "umi_groups", "pair_by_name", "fastq_scan", "record_projection", "bam_audit", "library_file", "trim_reads", "reason_chain", "counts_paired_force", "audit_join", "unscored_pairs")
 
 
 @pytest.fixture(scope="module")
