@@ -1,5 +1,6 @@
 """The command line over FASTQ and BAM files."""
 
+import gzip
 import io
 import json
 import random
@@ -12,6 +13,7 @@ from readloom.operators.orient import triage
 from readloom.plans.config import Config
 from readloom.plans.jobs import bam_result, file_kind
 from readloom.sources import bam
+from readloom.sources.fastq import read_fastq
 from readloom.sources.library import load_library
 from tests.test_calling import CONFIG, RC
 
@@ -32,6 +34,22 @@ def test_fastq_counts(spark, files):
     assert [tuple(r) for r in got] == [("gene", "5")]
 
 
+def test_fastq_is_unpacked_by_content(spark, files):
+    text = "".join(f"@r{k}\n{GENE[k : k + 90]}\n+\n{'I' * 90}\n" for k in range(5)).encode()
+    (files / "in").mkdir()
+    (files / "in" / "plain.fastq").write_bytes(text)
+    (files / "in" / "packed.fastq.gz").write_bytes(gzip.compress(text))
+    (files / "in" / "hidden.fastq").write_bytes(gzip.compress(text))
+    (files / "in" / "members.fastq").write_bytes(gzip.compress(text[:700]) + gzip.compress(text[700:]))
+    (files / "in" / "misnamed.fastq.gz").write_bytes(text)
+    (files / "in" / "none.fastq").write_bytes(b"")
+    rows = read_fastq(spark, str(files / "in")).collect()
+    for name in ("plain.fastq", "packed.fastq.gz", "hidden.fastq", "members.fastq", "misnamed.fastq.gz"):
+        assert [(r["record_no"], r["name"], r["seq"]) for r in sorted(rows, key=lambda r: r["record_no"]) if r["file"].endswith(f"/{name}")] == [(k, f"r{k}", GENE[k : k + 90]) for k in range(5)]
+    assert len(rows) == 25 and read_fastq(spark, str(files / "in" / "none.fastq")).count() == 0
+    assert read_fastq(spark, str(files / "in" / "hidden.fastq")).count() == 5
+
+
 def mate_pair(name, umi, at, cell="AAAC-1", quality=40, **tags):
     """Two records of 90 bases, 100 apart; the reverse one is stored along the gene, as files do."""
     tags = {"CB": cell, "UB": umi, "AS": "x", **tags}
@@ -102,8 +120,26 @@ def test_compat_reproduces_the_odd_cases(spark, files):
     assert [triage(sets, c).first()["triage"] for c in (config, Config(intersect_level=2))] == ["Equivalence Class Empty After Filters", "Force Intersect Failure"]
 
 
+@pytest.mark.parametrize("size", [100, 900, 60000])
+def test_ranges_of_a_file_hold_each_record_once(spark, files, size):
+    rows = []
+    for k in range(400):
+        n = RNG.choice([0, 1, 36, 90, 250])
+        rows.append((f"name{k}", RNG.choice([0, 99, 147]), RNG.choice([-1, 0, 1]), RNG.randrange(-1, 10**6), 60, f"{n}M" if n else "", RNG.choice([-1, 0, 1]), 7, 0, "".join(RNG.choice("ACGTN") for _ in range(n)), RNG.choice([None, [RNG.randrange(60)] * n]), {"CB": "AA-1", "UR": "x" * RNG.choice([1, 40, 3000])}))
+    data = bam.encode(rows, [("one", 10**6), ("two", 10**6)], size)
+    (files / "x.bam").write_bytes(data)
+    whole = list(bam.records(io.BytesIO(data)))
+    assert [r[1] for r in whole] == [r[0] for r in rows] and [r[0] for r in whole] == sorted({r[0] for r in whole})
+    for split in (37, 1000, 5001, 10**6):
+        parts = [r for low in range(0, len(data), split) for r in bam.records(io.BytesIO(data), low, low + split, len(data))]
+        assert parts == whole
+    got = bam.read_bam(spark, str(files / "x.bam"), 4000)
+    assert got.rdd.getNumPartitions() == -(-len(data) // 4000)
+    assert [tuple(r)[1:13] for r in got.orderBy("file_pos").collect()] == [r[:12] for r in whole]
+
+
 def test_tags_that_are_not_text(spark, files):
-    raw = b"".join(bam.blocks(io.BytesIO(bam.encode(lone("u", "GG")))))
+    raw = b"".join(data for _, data in bam.blocks(io.BytesIO(bam.encode(lone("u", "GG")))))
     size = int.from_bytes(raw[12:16], "little")
     new = raw[:12] + (size + 7).to_bytes(4, "little") + raw[16 : 16 + size] + b"NHi" + (5).to_bytes(4, "little")
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)
