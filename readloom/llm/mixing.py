@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
-Every row gets a hash-random key; rows are range-partitioned on it within their source, distributed prefix
-sums of sizes are taken in two levels (over key ranges, then inside a range), and each source is cut
-at its exact budget, repeating epochs if the budget exceeds the source.
+Every row gets a hash-random key, whose first digits name its range; sizes are summed per source and range, and distributed prefix
+sums over the ranges tell in which one a source's budget ends. Ranges before it are taken whole and those after it not at all,
+row by row; only the rows of that one range are sorted by key, and cut at the exact budget. Epochs repeat if the budget exceeds the source.
 """
 
 from __future__ import annotations
@@ -12,29 +12,34 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.llm import kit
+
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE, MOST, SEED = 1.5, 2, "mix-1"
-#: Sources have one row each on the driver; more than this is refused rather than gathered.
-MAX_SOURCES = 1_000_000
 #: Rows aimed at in one key range.
 RANGE_ROWS = 50_000
 
 
-def targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict:
-    """Target of each source. Sources go by code point, null last, with repeating weights.
+def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, n, target) of (source, n) rows. Sources go by code point, null last, with repeating weights.
 
-    A target stops at ``most`` times its source; the excess is reshared by weight until none is above.
-    Sources reach their limit in order of size over weight, so one pass over that order is enough.
+    A target stops at ``most`` times its source; the excess is reshared by weight until none is above. Sources reach their
+    limit in order of size over weight, so running sums in that order tell which do: one task takes the sources' rows in order, holding none.
     """
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
-    total, left, out = share * sum(sizes.values()), sum(weight.values()), {}
-    for s in sorted(names, key=lambda s: sizes[s] / weight[s]):
-        if weight[s] * total > most * sizes[s] * left:
-            out[s] = float(most * sizes[s])
-            total, left = total - most * sizes[s], left - weight[s]
-    return out | {s: float(weight[s] * total) / left for s in names if s not in out}
+    by_name, everything = Window.orderBy(F.asc_nulls_last("source")), Window.partitionBy()
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
+    rows = sizes.withColumn("w", w)
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("weight"))
+    rows = rows.crossJoin(F.broadcast(total))  # one row
+    before = Window.orderBy(F.col("n") / F.col("w"), F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)
+    past = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    rows = rows.withColumn("limit", most * F.col("n"))
+    left, open_ = share * F.col("total") - past("limit"), F.col("weight") - past("w")
+    rows = rows.withColumn("full", F.col("w") * left > F.col("limit") * open_)
+    taken, free = F.sum(F.when(F.col("full"), F.col("limit")).otherwise(0)).over(everything), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).over(everything)
+    target = F.when(F.col("full"), F.col("limit")).otherwise(F.col("w") * (share * F.col("total") - taken) / F.when(free > 0, free))
+    return rows.select("source", "n", target.cast("double").alias("target"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
@@ -46,36 +51,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     half of it is inside). Null or empty text has size 0; null sources form one source; null doc_ids and
     repeated rows are rows like others; an empty table gives none.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("row"),
         F.col("source").cast("string").alias("source"),
         F.col("doc_id").cast("string").alias("id"),
-        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
     )
-    sums = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    target = targets({r["source"]: r["n"] for r in sums}, weights, share, most)
-    table = []
-    for r in sums:
-        t, n = target[r["source"]], r["n"]
-        epochs = int(t // n) if n else 1
-        table.append((r["source"], n, t, epochs, math.floor(t) - epochs * n if n else 0))
-    digits = max(2, math.ceil(math.log(max(1, sum(r["rows"] for r in sums)) / RANGE_ROWS + 1, 16)))
-    plan = spark.createDataFrame(table, "of string, source_size long, target double, epochs long, rest long")
-    keyed = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("id", F.lit("")))))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, digits))
-    per = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    per = per.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("base"))
-    within = Window.partitionBy("source", "bucket").orderBy("key", F.col("id").cast("long"), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = keyed.withColumn("upto", F.sum("size").over(within)).join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).join(plan, F.col("source").eqNullSafe(F.col("of")))
+    digits = max(2, math.ceil(math.log(docs.count() / RANGE_ROWS + 1, 16)))
+    rows = rows.withColumn("bucket", F.substring("key", 1, digits))
+    per = kit.stage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "ranges")
+    plan = targets(per.groupBy("source").agg(F.sum("n").alias("n")), weights, share, most)
+    plan = plan.withColumn("epochs", F.when(F.col("n") > 0, F.floor(F.col("target") / F.col("n"))).otherwise(F.lit(1)).cast("long"))
+    plan = plan.select(F.col("source").alias("of"), F.col("n").alias("source_size"), "target", "epochs", F.when(F.col("n") > 0, F.floor("target") - F.col("epochs") * F.col("n")).otherwise(F.lit(0)).cast("long").alias("rest"))
+    ranges = per.withColumn("base", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n"))
+    ends = ranges.join(plan.select("of", "rest"), F.col("source").eqNullSafe(F.col("of"))).where("n > 0 AND base < rest").groupBy("source").agg(F.max(F.struct("bucket", "base")).alias("x"))
+    ends = ends.select(F.col("source").alias("at"), F.col("x.bucket").alias("last"), F.col("x.base").alias("base"))
+    plan = kit.stage(plan.join(ends, F.col("of").eqNullSafe(F.col("at")), "left").drop("at"), "plan")
+    known = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
+
+    def taking(some: DataFrame, words, whole) -> DataFrame:
+        return some.select("row", "size", "source_size", "target", (F.col("epochs") * F.col("size") + words).alias("taken"), (F.col("epochs") + F.when(whole, 1).otherwise(0)).cast("int").alias("copies"))
+
+    inside = F.coalesce(F.col("bucket") < F.col("last"), F.lit(False))
+    whole = taking(known.where(~F.col("bucket").eqNullSafe(F.col("last"))), F.when(inside, F.col("size")).otherwise(0), inside)
+    within = Window.partitionBy("source").orderBy("key", F.col("id").cast("long"), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     room = F.col("rest") - (F.col("base") + F.col("upto") - F.col("size"))
-    return out.select(
-        "row", "size", "source_size", "target",
-        (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(room, F.col("size")))).alias("taken"),
-        (F.col("epochs") + F.when((F.col("rest") > 0) & (2 * room >= F.col("size")), 1).otherwise(0)).cast("int").alias("copies"),
-    )
+    cut = taking(known.where(F.col("bucket") == F.col("last")).withColumn("upto", F.sum("size").over(within)), F.greatest(F.lit(0), F.least(room, F.col("size"))), 2 * room >= F.col("size"))
+    return whole.unionByName(cut)
 
 
 def op1(spark, sf_dir):

@@ -30,11 +30,11 @@ def test_mixing_meets_budgets(spark, docs):
     per = Counter()
     for (_, _, s), n in zip(rows, sizes):
         per[s] += n
-    want = mixing.targets(dict(per))
+    want = wanted(per)
     taken = Counter()
     for r in found:
         taken[r["row"]["source"]] += r["taken"]
-        assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == per[r["row"]["source"]] and r["target"] == want[r["row"]["source"]]
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == per[r["row"]["source"]] and r["target"] == pytest.approx(want[r["row"]["source"]])
     assert all(abs(taken[s] - want[s]) < 1 for s in per)
     assert abs(sum(want.values()) - 1.5 * sum(sizes)) < 1e-6
     assert sorted((r["row"]["doc_id"] or -1, r["size"]) for r in found) == sorted((d or -1, n) for (d, _, _), n in zip(rows, sizes))
@@ -42,9 +42,30 @@ def test_mixing_meets_budgets(spark, docs):
     assert again == sorted(map(repr, found))
 
 
-def test_targets_stop_at_twice_the_source():
-    got = mixing.targets({"a": 10, "b": 100, None: 1000})
+def test_targets_stop_at_twice_the_source(spark):
+    def found(sizes):
+        return {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, n long")).collect()}
+
+    got = found({"a": 10, "b": 100, None: 1000})
     assert got["a"] == 20 and got["b"] == 200 and got[None] == pytest.approx(1665 - 220)
+    rng = np.random.default_rng(1)
+    for _ in range(4):
+        sizes = {(None if k == 0 else f"s{k:02}"): int(n) for k, n in enumerate(rng.integers(0, 10 ** rng.integers(1, 5), rng.integers(1, 30)))}
+        assert found(sizes) == pytest.approx(wanted(sizes))
+
+
+def wanted(sizes):
+    """Targets by resharing round for round."""
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    fixed, total = {}, 1.5 * sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in fixed]
+        share = {s: weight[s] * (total - sum(fixed.values())) / sum(weight[x] for x in free) for s in free}
+        over = {s: 2.0 * sizes[s] for s in free if share[s] > 2 * sizes[s]}
+        if not over:
+            return fixed | share
+        fixed |= over
 
 
 @pytest.mark.parametrize("hot", [1 << 17, 2])
