@@ -7,7 +7,7 @@ is lost. The steps:
 1. *Anchors.* Each task hashes its texts and reports, per anchor, its gram and its context (up to 136 bytes before
    and 200 from the anchor). Equal contexts within a task collapse first, so a group of copies costs a row per task.
 2. *Grams.* Anchors whose gram is nowhere else drop out. Contexts that occur again, whole, are repeats as they stand
-   (equal 64-bit gram and 64-bit context hashes); one of each stays as a partner for the others.
+   (equal 64-bit gram hashes and equal 64-bit BLAKE2 digests of the contexts); one of each stays as a partner for the others.
 3. *Runs.* Each task sorts the remaining suffixes (text from the anchor, then the text before it, backwards) and front-codes
    them: each is stored from its first byte that differs from its predecessor. Runs are exchanged by ranges of the gram.
 4. *Merge.* A range merges its runs with a loser tree that carries common-prefix lengths and never compares
@@ -61,7 +61,10 @@ def anchors(roller: kit.Roller, buf: np.ndarray, offs: np.ndarray, length: int,
     ok = (at + gram <= offs[row + 1]) & (offs[row + 1] - offs[row] >= length)
     at, row = at[ok], row[ok]
     left, right = np.minimum(at - offs[row], lead), np.minimum(offs[row + 1] - at, length)
-    ctx = roller.between(prefix, at - left, at + right) ^ kit.mix((left * 256 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    data, digest = buf.tobytes(), hashlib.blake2b
+    # a digest and no sum: texts can be made whose sums modulo 2**64 are equal
+    ctx = np.frombuffer(b"".join([digest(data[a:b], digest_size=8).digest() for a, b in zip((at - left).tolist(), (at + right).tolist())]), "<u8")
+    ctx = ctx ^ kit.mix((left * 256 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return row, at - offs[row], h[at], ctx, left, right
 
 
@@ -410,7 +413,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     found = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(kit.tidy(_grams(length, HOT)), "key binary, a long, b long")
     found = kit.stage(found, "grams")
     asked = found.where("b IN (-1, -2)").groupBy("key").agg(F.collect_list(F.col("a") * 2 + F.when(F.col("b") == -2, 1).otherwise(0)).alias("asked"))
-    runs = texts.join(asked, "key").select("text", "key", "asked").mapInArrow(kit.tidy(_runs(length, gram, _borders(docs, length, gram, n))), "range int, items binary, shared binary, bytes binary")
+    runs = texts.join(asked, "key").select("text", "key", "asked").mapInArrow(kit.tidy(_runs(length, gram, _borders(texts, length, gram, n))), "range int, items binary, shared binary, bytes binary")
     more = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(kit.tidy(_merge(length, gram)), "key binary, a long, b long")
     spans = found.where("b > 0").union(kit.stage(more, "repeats"))
     return spans.union(hot_repeats(texts, found, length, gram)) if found.where("b = -3").head(1) else spans
@@ -421,21 +424,26 @@ def spans_by_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return repeats(docs, length).distinct().groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def _borders(docs: DataFrame, length: int, gram: int, n: int) -> list[bytes]:
-    """Borders of the ranges from a bounded sample of texts."""
-    total = docs.count()
-    text = F.substring(F.col("text").cast("string"), 1, 4000)
-    sample = docs.where(F.octet_length("text") >= length).select(text.alias("text"), F.xxhash64("text").alias("h"))
-    if total > SAMPLE:
-        sample = sample.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
-    grams = []
-    roller = kit.Roller()
-    for (x,) in sample.select("text").limit(2 * SAMPLE).collect():
-        buf = np.frombuffer(x.encode(), np.uint8)
-        found = anchors(roller, buf, np.array([0, len(buf)]), length, gram)
-        if found is not None:
-            grams += [bytes(buf[p : p + gram]) for p in found[1][:8]]
-    grams.sort()
+def _borders(texts: DataFrame, length: int, gram: int, n: int) -> list[bytes]:
+    """Borders of the ranges, from a few grams of each of a bounded sample of whole texts, by hash of their keys."""
+    total = texts.count()
+
+    def run(batches):
+        import pyarrow as pa
+
+        roller = kit.Roller()
+        for b in batches:
+            buf, offs = kit.column_bytes(b.column(0))
+            found = []
+            for row, pos, *_ in text_anchors(roller, buf, offs, length, gram):
+                for r in np.unique(row):
+                    p = pos[row == r]
+                    found += [bytes(buf[x : x + gram]) for x in (offs[r] + p[:: max(1, len(p) // 8)][:8]).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["gram"])
+
+    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+    sample = texts.where(draw < int((1 << 30) * min(1.0, SAMPLE / max(1, total)))).select("text").mapInArrow(kit.tidy(run), "gram binary")
+    grams = sorted(bytes(r[0]) for r in sample.limit(16 * SAMPLE).collect())
     return sorted({grams[len(grams) * k // (2 * n)] for k in range(1, 2 * n)}) if grams else []
 
 

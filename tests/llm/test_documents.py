@@ -87,6 +87,20 @@ def test_suffix_dedup_equals_brute_force(docs, monkeypatch, hot):
     assert as_tuples(got, *got.columns) == sorted(want, key=repr)
 
 
+def test_texts_around_a_word_and_its_complement(spark):
+    # long ones of these have equal polynomial sums modulo 2**64 for any base
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    side = "".join(chr(99 + x) for x in np.random.default_rng(2).integers(0, 20, 400))
+    texts = [side[:200] + word[:64] + side[200:], side[:200] + other[:64] + side[200:]]
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    want = [sum(any(seen[t[j : j + 200]] > 1 for j in range(max(0, i - 199), min(i, len(t) - 200) + 1)) for i in range(len(t))) for t in texts]
+    got = suffix_dedup.strip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=["doc_id"])
+    assert [r["n_removed"] for r in got.orderBy("row.doc_id").collect()] == want
+
+
 def test_span_lists_grow_with_the_text_and_not_with_its_copies(spark):
     text = " ".join(f"w{x}" for x in np.random.default_rng(7).integers(0, 10**9, 200))
     docs = spark.createDataFrame([(k, text) for k in range(40)], "doc_id long, text string").repartition(4)
