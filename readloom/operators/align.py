@@ -16,6 +16,8 @@ from readloom.plans.config import Config
 
 #: Bases of a library up to which its index is broadcast (about 60 bytes a base); larger ones are joined by shuffle.
 BROADCAST_BASES = 1 << 20
+#: Row numbers of a library lie below 2 ** LIB; where several are aligned to at once, a library's number stands above.
+LIB = 40
 
 # Why a read or pair was dropped, as it is printed (spelling included).
 MATCH, NO_MATCH, SHORT, COMPLEXITY = "Successful Match", "No Match", "Short Read", "Low Entropy"
@@ -38,23 +40,24 @@ def places(library: DataFrame, k: int = seq.KMER) -> DataFrame:
 
 
 def kmer_index(library: DataFrame, k: int = seq.KMER) -> DataFrame:
-    """(kmer, colour, places): the rows that hold each k-mer, and where."""
-    return places(library, k).groupBy("kmer").agg(F.array_sort(F.collect_set("ref_idx")).alias("colour"), F.collect_list(F.struct("ref_idx", "at")).alias("places"))
+    """(kmer, lib, colour, places): the rows that hold each k-mer, and where; ``lib`` is the library's number, 0 for one."""
+    rows = places(library, k).withColumn("lib", F.shiftright("ref_idx", LIB).cast("int"))
+    return rows.groupBy("kmer", "lib").agg(F.array_sort(F.collect_set("ref_idx")).alias("colour"), F.collect_list(F.struct("ref_idx", "at")).alias("places"))
 
 
 def hits(reads: DataFrame, index: DataFrame, k: int = seq.KMER) -> DataFrame:
-    """(read_id, at, colour, places) for each read position whose k-mer is in the index; the read itself stays behind."""
+    """(read_id, lib, at, colour, places) for each read position whose k-mer is in the index; the read itself stays behind."""
     rows = reads.select("read_id", F.posexplode(seq.kmers(F.col("seq"), k)).alias("at", "kmer"))
-    return rows.join(index, "kmer").select("read_id", "at", "colour", "places")
+    return rows.join(index, "kmer").select("read_id", "lib", "at", "colour", "places")
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """(read_id, cls, diagonals) from hits: the rows common to all of a read's hits and the diagonals they lie on."""
+    """(read_id, lib, cls, diagonals) from hits: the rows common to all of a read's hits and the diagonals they lie on."""
     diagonals = F.transform("places", lambda p: F.struct(p["ref_idx"].alias("ref_idx"), (F.col("at") - p["at"]).alias("diagonal")))
-    rows = found.groupBy("read_id").agg(F.collect_set("colour").alias("colours"), F.collect_set(diagonals).alias("d"))
+    rows = found.groupBy("read_id", "lib").agg(F.collect_set("colour").alias("colours"), F.collect_set(diagonals).alias("d"))
     common = F.aggregate("colours", F.col("colours")[0], lambda a, b: F.array_intersect(a, b))
     rows = rows.withColumn("cls", F.array_sort(common))
-    return rows.select("read_id", "cls", F.filter(F.array_distinct(F.flatten("d")), lambda x: F.array_contains(F.col("cls"), x["ref_idx"])).alias("diagonals"))
+    return rows.select("read_id", "lib", "cls", F.filter(F.array_distinct(F.flatten("d")), lambda x: F.array_contains(F.col("cls"), x["ref_idx"])).alias("diagonals"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -63,26 +66,35 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def compare(found: DataFrame, library: DataFrame) -> DataFrame:
-    """(read_id, cls, score, mismatches) from (read_id, seq, cls, diagonals): the best diagonal of a class; an empty class scores 0."""
-    pairs = found.select("read_id", "seq", "cls", F.explode_outer("diagonals").alias("x")).select("read_id", "seq", "cls", "x.ref_idx", "x.diagonal")
+    """(read_id, lib, cls, score, mismatches) from (read_id, lib, seq, cls, diagonals): the best diagonal of a class; an empty class scores 0."""
+    pairs = found.select("read_id", "lib", "seq", "cls", F.explode_outer("diagonals").alias("x")).select("read_id", "lib", "seq", "cls", "x.ref_idx", "x.diagonal")
     rows = pairs.join(library.select("ref_idx", F.upper("sequence").alias("sequence")), "ref_idx", "left")
     start = F.greatest(F.col("diagonal"), F.lit(0))
     n = F.least(F.length("seq"), F.length("sequence") + F.col("diagonal")) - start
     differ = hamming(F.substring(F.col("seq"), start + 1, n), F.substring(F.col("sequence"), start - F.col("diagonal") + 1, n))
     best = F.min(F.when(F.col("ref_idx").isNotNull(), F.struct(differ.alias("mismatches"), (-n).alias("n"))))
-    rows = rows.groupBy("read_id").agg(F.first("cls").alias("cls"), best.alias("x"))
-    return rows.select("read_id", "cls", F.coalesce(-F.col("x.n"), F.lit(0)).alias("score"), F.coalesce(F.col("x.mismatches"), F.lit(0)).alias("mismatches"))
+    rows = rows.groupBy("read_id", "lib").agg(F.first("cls").alias("cls"), best.alias("x"))
+    return rows.select("read_id", "lib", "cls", F.coalesce(-F.col("x.n"), F.lit(0)).alias("score"), F.coalesce(F.col("x.mismatches"), F.lit(0)).alias("mismatches"))
 
 
 def pseudoalign(reads: DataFrame, library: DataFrame, k: int = seq.KMER) -> DataFrame:
-    """Align (read_id, seq) reads to an expanded library; reads without a sequence or a hit have no row.
+    """(read_id, cls, score, mismatches): (read_id, seq) reads aligned to an expanded library; reads without a sequence or a hit have no row."""
+    return pseudoalign_all(reads, [library], k).drop("lib")
+
+
+def pseudoalign_all(reads: DataFrame, libraries: list[DataFrame], k: int = seq.KMER) -> DataFrame:
+    """(read_id, lib, cls, score, mismatches): reads aligned to several libraries, by their number, in one pass.
 
     Reads are dealt out by read_id once; hits, classes and comparisons stay on that partitioning. Only ids travel
     with the k-mers: a read's letters come back for those that have a class.
     """
+    library = None
+    for n, rows in enumerate(libraries):
+        rows = rows.select((F.col("ref_idx") + (n << LIB)).alias("ref_idx"), "sequence")
+        library = rows if library is None else library.unionByName(rows)
     reads = reads.select("read_id", F.upper("seq").alias("seq")).repartition("read_id")
-    found = classes(hits(reads, sized(kmer_index(library, k), library), k))
-    return compare(reads.join(found, "read_id"), library)
+    found = compare(reads.join(classes(hits(reads, sized(kmer_index(library, k), library), k)), "read_id"), library)
+    return found.withColumn("cls", F.transform("cls", lambda x: x.bitwiseAND((1 << LIB) - 1)))
 
 
 def fitting(sequence: Column, also: Column | None = None) -> Column:
@@ -107,14 +119,21 @@ def score_below(cfg: Config, score: Column, norm: Column, cls: Column) -> Column
     return (score < cfg.score_threshold) | (norm < cfg.score_percent) | (F.size(cls) == 0)
 
 
-def align_reads(reads: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:
+def prepared(reads: DataFrame) -> DataFrame:
+    """(read_id, seq) of (read_id, seq[, skip]) reads, the sequence null where the read never reaches an index."""
+    also = ~F.coalesce(F.col("skip"), F.lit(False)) if "skip" in reads.columns else None
+    return reads.select("read_id", fitting(F.upper("seq"), also).alias("seq"))
+
+
+def align_reads(reads: DataFrame, library: DataFrame, cfg: Config, found: DataFrame | None = None) -> DataFrame:
     """(read_id, reason, norm, score, mismatches, cls) for (read_id, seq[, skip]) reads; cls is null unless the read matched.
 
-    Cheap rejects come first, so short, skipped and simple reads never reach the index.
+    Cheap rejects come first, so short, skipped and simple reads never reach the index. ``found`` may hold what pseudoalign gives for the prepared reads.
     """
     skip = F.coalesce(F.col("skip"), F.lit(False)) if "skip" in reads.columns else F.lit(False)
+    if found is None:
+        found = pseudoalign(prepared(reads), library)
     reads = reads.select("read_id", F.upper("seq").alias("seq"), skip.alias("skip"))
-    fit = reads.select("read_id", fitting(F.col("seq"), ~F.col("skip")).alias("seq"))
-    rows = reads.join(pseudoalign(fit, library), "read_id", "left")
+    rows = reads.join(found, "read_id", "left")
     rows = rows.select("read_id", reason(cfg, F.col("seq"), F.col("skip")).alias("reason"), F.coalesce(seq.norm_score(F.col("score"), F.col("seq")), F.lit(0.0)).alias("norm"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("mismatches", F.lit(0)).alias("mismatches"), "cls")
     return rows.withColumn("cls", F.when(F.col("reason") == MATCH, F.col("cls")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import seq
 from readloom.operators import align, orient
+from readloom.plans import scratch
 from readloom.plans.config import Config
 
 
@@ -27,10 +28,10 @@ def valid_pair(a, b):
     return F.coalesce((F.size(a) > 0) & (F.array_sort(a) == F.array_sort(b)), F.lit(False))
 
 
-def trace(pairs: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:
-    """(pair_id, r1, r2, features, triage) of distinct pairs, whose ids may be of any type: r1 and r2 are structs of reason, norm, score, shown score (0 unless the read itself matched) and class, triage is null for pairs without a call."""
+def trace(pairs: DataFrame, library: DataFrame, cfg: Config, found: DataFrame | None = None) -> DataFrame:
+    """(pair_id, r1, r2, features, triage) of distinct pairs, whose ids may be of any type: r1 and r2 are structs of reason, norm, score, shown score (0 unless the read itself matched) and class, triage is null for pairs without a call. ``found`` may hold the alignment of the pairs' prepared mates."""
     reads = mates(pairs)
-    aligned = align.align_reads(reads.select("read_id", "seq", "skip"), library, cfg)
+    aligned = align.align_reads(reads.select("read_id", "seq", "skip"), library, cfg, found)
     aligned = aligned.withColumn("pair_id", F.col("read_id.pair_id")).withColumn("mate", F.col("read_id.mate"))
     shown = F.when(F.col("cls").isNotNull(), F.col("score")).otherwise(0).alias("shown")
     side = lambda m: F.max(F.when(F.col("mate") == m, F.struct("reason", "norm", "score", shown, "cls")))
@@ -51,8 +52,11 @@ def trace(pairs: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:
 
 def feature_counts(pairs: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:
     """(features, score): how many distinct pairs call each feature set. pairs: (pair_id, r1, r2)."""
-    found = trace(dedup_pairs(pairs), library, cfg).where(F.col("triage") == align.MATCH)
-    return found.groupBy("features").agg(F.count("*").alias("score"))
+    return counted(trace(dedup_pairs(pairs), library, cfg))
+
+
+def counted(traced: DataFrame) -> DataFrame:
+    return traced.where(F.col("triage") == align.MATCH).groupBy("features").agg(F.count("*").alias("score"))
 
 
 def sorted_counts(pairs: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:
@@ -73,11 +77,20 @@ def audit(pairs: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
+def counts_by_library(pairs: DataFrame, libraries: list[tuple[Config, DataFrame]]) -> list[DataFrame]:
+    """(features, score) for each of several libraries with settings of their own. Pairs are read and aligned once for all of them."""
+    if len(libraries) == 1:
+        return [feature_counts(pairs, library, cfg) for cfg, library in libraries]
+    distinct = scratch.hold(dedup_pairs(pairs), "pairs")
+    found = scratch.hold(align.pseudoalign_all(align.prepared(mates(distinct)), [library for _, library in libraries]), "aligned")
+    return [counted(trace(distinct, library, cfg, found.where(F.col("lib") == n).drop("lib"))) for n, (cfg, library) in enumerate(libraries)]
+
+
 def many_libraries(pairs: DataFrame, libraries: list[tuple[str, DataFrame, Config]]) -> DataFrame:
     """(library, features, score) of several libraries, each with settings of its own."""
     out = None
-    for name, library, cfg in libraries:
-        one = feature_counts(pairs, library, cfg).withColumn("library", F.lit(name))
+    for (name, _, _), one in zip(libraries, counts_by_library(pairs, [(cfg, library) for _, library, cfg in libraries])):
+        one = one.withColumn("library", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 

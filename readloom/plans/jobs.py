@@ -81,12 +81,9 @@ def run(spark: SparkSession, libraries: list[tuple[Config, DataFrame]], inputs:
         raise ValueError(f"{len(outputs)} outputs for {len(libraries)} libraries")
     kind = file_kind(inputs[0])
     if kind == "fastq":
-        reads = fastq.read_pairs(spark, *inputs[:2])
-        reads = scratch.hold(counts.dedup_pairs(reads), "reads") if len(libraries) > 1 else reads
-    else:
-        reads = scratch.hold(bam.read_bam(spark, inputs[0]).where(F.col("tags")["CB"].isNotNull()), "alignments")
+        for found, out in zip(counts.counts_by_library(fastq.read_pairs(spark, *inputs[:2]), libraries), outputs):
+            sinks.write_counts(found, out)
+        return
+    reads = scratch.hold(bam.read_bam(spark, inputs[0]).where(F.col("tags")["CB"].isNotNull()), "alignments")
     for (cfg, library), out in zip(libraries, outputs):
-        if kind == "fastq":
-            sinks.write_counts(counts.feature_counts(reads, library, cfg), out)
-        else:
-            sinks.write_audit(bam_result(reads, library, cfg, force_paired), out)
+        sinks.write_audit(bam_result(reads, library, cfg, force_paired), out)

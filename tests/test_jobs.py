@@ -34,6 +34,19 @@ def test_fastq_counts(spark, files):
     assert [tuple(r) for r in got] == [("gene", "5")]
 
 
+def test_several_libraries_in_one_pass(spark, files):
+    other = "".join(RNG.choice("ACGT") for _ in range(200))
+    (files / "two.json").write_text(json.dumps([CONFIG | {"score_threshold": 85}, {"headers": ["sequence_name", "sequence"], "columns": [["gene2", "other"], [GENE[:150], other]]}]))
+    (files / "r.fastq").write_text("".join(f"@r{k}\n{s[k : k + 90]}\n+\n{'I' * 90}\n" for k in range(0, 100, 20) for s in (GENE, other)))
+    args = [x for name in ("lib", "two") for x in ("-r", str(files / f"{name}.json"), "-o", str(files / f"out_{name}"))]
+    cli.main([*args, "-i", str(files / "r.fastq")], spark)
+    for name in ("lib", "two"):
+        cli.main(["-r", str(files / f"{name}.json"), "-o", str(files / f"alone_{name}"), "-i", str(files / "r.fastq")], spark)
+    read = lambda x: sorted(tuple(r) for r in spark.read.option("sep", "\t").option("header", True).csv(str(files / x)).collect())
+    assert read("out_lib") == read("alone_lib") == [("gene", "5")]
+    assert read("out_two") == read("alone_two") == [("gene2", "4"), ("other", "5")]
+
+
 def test_fastq_is_unpacked_by_content(spark, files):
     text = "".join(f"@r{k}\n{GENE[k : k + 90]}\n+\n{'I' * 90}\n" for k in range(5)).encode()
     (files / "in").mkdir()
