@@ -39,7 +39,7 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under [cc by sa] 4 0", False),
     ("all-rights-reserved", "copyright [all rights reserved]", False),
 )
-#: Words under which a template is posted, and the share of them that must stand at their places (all of a base template's).
+#: Words under which a template is posted (at most half of it, at least two), and the share of them that must stand at their places (all of a base template's).
 RARE, ENOUGH = 4, 0.75
 
 
@@ -49,11 +49,12 @@ class Template:
         phrase, _, after = rest.partition("]")
         self.label, self.base, self.phrase, self.at = label, base, phrase.split(), len(before.split())
         self.words = [*before.split(), *self.phrase, *after.split()]
+        self.most = max(2, min(RARE, len(self.words) // 2))
 
     def rare(self, idf: dict[str, float]) -> list[tuple[str, int]]:
         """The rarest words of the whole template with their first positions."""
         first = {w: k for k, w in reversed(list(enumerate(self.words)))}
-        return sorted(first.items(), key=lambda x: (-idf[x[0]], x[1]))[:RARE]
+        return sorted(first.items(), key=lambda x: (-idf[x[0]], x[1]))[: self.most]
 
     def enough(self, rare: list) -> int:
         return len(rare) if self.base else math.ceil(ENOUGH * len(rare))
@@ -145,17 +146,17 @@ def oracle(templates=TEMPLATES) -> str:
     """The same rows by brute force: every start of every template that any of its rare words lines up with."""
     made = [Template(*t) for t in templates]
     words = ", ".join(f"({k}, {p}, '{w}')" for k, t in enumerate(made) for p, w in enumerate(t.words))
-    shapes = ", ".join(f"({k}, '{t.label}', {str(t.base).lower()}, {t.at}, {t.phrase})" for k, t in enumerate(made))
+    shapes = ", ".join(f"({k}, '{t.label}', {str(t.base).lower()}, {t.at}, {t.phrase}, {t.most})" for k, t in enumerate(made))
     az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{az}', '{az.lower()}'), '{SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT * FROM (VALUES {shapes}) AS x (t, label, base, off, phrase)),
+t AS (SELECT * FROM (VALUES {shapes}) AS x (t, label, base, off, phrase, most)),
 v AS (SELECT * FROM (VALUES {words}) AS x (t, p, word)),
 k AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
 n AS (SELECT word, count(DISTINCT r) AS n FROM k WHERE word IN (SELECT word FROM v) GROUP BY word),
 f AS (SELECT word, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(n, 0))::DOUBLE) + 1e-9 AS idf FROM (SELECT DISTINCT word FROM v) LEFT JOIN n USING (word)),
 u AS (SELECT t, word, min(p) AS p FROM v GROUP BY t, word),
-rare AS (SELECT t, word, p FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY idf DESC, p) AS o FROM u JOIN f USING (word)) WHERE o <= {RARE}),
+rare AS (SELECT t, word, p FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY idf DESC, p) AS o FROM u JOIN f USING (word)) JOIN t USING (t) WHERE o <= most),
 need AS (SELECT t, CASE WHEN base THEN count(*) ELSE ceil({ENOUGH} * count(*)) END AS need FROM rare JOIN t USING (t) GROUP BY t, base),
 s AS (SELECT r, t, i - p AS start FROM k JOIN rare USING (word) JOIN need USING (t) GROUP BY r, t, i - p, need HAVING count(*) >= need),
 m AS (SELECT s.r, s.t, s.start, label, base, w FROM s JOIN t USING (t) JOIN d ON d.r = s.r WHERE start + off >= 0 AND w[start + off + 1 : start + off + len(phrase)] = phrase),
