@@ -341,7 +341,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     boundary = cheapest([tuple(r)[1:] for r in costs])
     keys = kit.stage(sets.select("node", "n", "tokens").mapInArrow(kit.tidy(_keys(boundary, percent)), "node long, sign long"), "signatures")
     center = keys.groupBy("sign").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other").select("sign", "center")
-    stars = kit.stage(keys.join(center, "sign").where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), "stars")
+    stars = kit.stage(keys.join(kit.apart(center, "sign"), "sign").where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), "stars")
     kit.discard(keys)
     star_comps = kit.components(stars)
     near = kit.stage(star_comps, "clusters")
@@ -349,7 +349,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     size = sets.select("node", F.size("tokens").alias("size"))
     near = near.join(size, "node")
     load = near.groupBy("comp").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("of"))
-    near = near.join(load, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    near = near.join(kit.apart(load, "comp"), "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     near = kit.stage(near.select("comp", "of", "block", "node"), "blocks")
     pair = F.when(F.col("of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))
     full = near.join(sets.select("node", "n", "tokens"), "node").withColumn("with", F.explode(pair))
@@ -398,7 +398,7 @@ def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
     known = kit.stage(found.join(ids, "key"), "texts")
     kit.discard(found)
     least = known.where("grp IS NOT NULL").groupBy("grp").agg(F.min("id").alias("least"))
-    return known.drop("id").join(least, "grp", "left")
+    return known.drop("id").join(kit.apart(least, "grp"), "grp", "left")
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

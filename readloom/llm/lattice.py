@@ -211,7 +211,7 @@ def near(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probe
     post = posts.select("node", "width", F.explode("cells").alias("cell"))
     full = post.groupBy("cell").agg(F.count("*").alias("m"), F.max("width").alias("w")).where("m > 1")
     full = full.select("cell", F.ceil(F.col("m") / F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / F.col("w")))).cast("int").alias("of"))
-    post = post.select("node", "cell").join(full, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    post = post.select("node", "cell").join(kit.apart(full, "cell"), "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     pair = F.when(F.col("of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))
     post = post.withColumn("with", F.explode(pair)).select("cell", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node")
     sent = post.join(posts.drop("width"), "node").join(nodes.select("node", "weight", "e"), "node").select("cell", "i", "j", "block", "node", "weight", "cells", "e")
@@ -219,7 +219,7 @@ def near(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probe
     found = kit.stage(found, "found")
     comps = kit.components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.select("node", "name", "same", "weight").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = named.join(named.groupBy("comp").agg(F.min("name").alias("least")), "comp")
+    named = named.join(kit.apart(named.groupBy("comp").agg(F.min("name").alias("least")), "comp"), "comp")
     named = named.select("same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "least")
     out = rows.select("vec_id", "same").join(named, "same", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

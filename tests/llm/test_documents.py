@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from readloom.llm import jaccard, langid, licenses, mixing, packing, suffix_dedup
+from readloom.llm import jaccard, kit, langid, licenses, mixing, packing, suffix_dedup
 from tests.llm.fixtures import as_tuples, documents
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -167,6 +167,20 @@ def test_jaccard_keeps_flushes_of_equal_content_apart(spark, times, tmp_path):
     assert as_tuples(got, *got.columns) == sorted([(d, 101, d) for d in range(len(texts))] * times, key=repr)
 
 
+def test_components_of_chains_stars_and_circles(spark):
+    rng = np.random.default_rng(6)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 260)] + [(k, 300 + (k + 1) % 7) for k in range(300, 307)] + [(400, 400), (500, 501), (501, 500), (500, 501)] + [tuple(x) for x in rng.integers(1000, 1060, (50, 2)).tolist()]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = {r["node"]: r["comp"] for r in kit.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert kit.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_one_of_each_component_stays(spark):
     rng = np.random.default_rng(4)
     words = [f"w{x}" for x in rng.integers(0, 10**9, 60)]
