@@ -241,8 +241,9 @@ def _(spark, sf_dir):
 
 def reason_sql(cfg: Config) -> str:
     multiple = f"WHEN len(cls) > 1 THEN '{align.MULTIPLE}' " if cfg.discard_multiple_matches else ""
+    nonzero = f"WHEN mismatches <> 0 THEN '{align.NONZERO}' " if cfg.discard_nonzero_mismatch else ""
     return (
-        f"CASE WHEN length(seq) < 40 THEN '{align.SHORT}' WHEN {_ENTROPY.replace('dna', 'seq')} < 1.75 THEN '{align.COMPLEXITY}' WHEN al.read_id IS NULL THEN '{align.NO_MATCH}' "
+        f"CASE WHEN length(seq) < 40 THEN '{align.SHORT}' WHEN {_ENTROPY.replace('dna', 'seq')} < 1.75 THEN '{align.COMPLEXITY}' WHEN al.read_id IS NULL THEN '{align.NO_MATCH}' {nonzero}"
         f"WHEN score < {cfg.score_threshold} OR score / length(seq)::DOUBLE < {cfg.score_percent} OR len(cls) = 0 THEN '{align.BELOW}' {multiple}WHEN mismatches > {cfg.num_mismatches} THEN '{align.ABOVE}' ELSE '{align.MATCH}' END"
     )
 
@@ -260,6 +261,7 @@ def _reasons(name: str, cfg: Config) -> None:
 
 _reasons("reason_chain", BASE)
 _reasons("reason_chain_multiple", Config(score_threshold=60, score_percent=0.005, num_mismatches=1, discard_multiple_matches=True))
+_reasons("reason_chain_nonzero", Config(score_threshold=40, num_mismatches=3, discard_nonzero_mismatch=True))
 _reasons("score_filter", Config(score_threshold=100, score_percent=0.08, num_mismatches=2))
 
 
@@ -441,14 +443,14 @@ def _(spark, sf_dir):
 # ---- records ------------------------------------------------------------------------------------
 
 _EVENTS = (
-    "SELECT event_id AS file_pos, 'f' || user_id % 9 AS file, event_type AS umi, 'c' || user_id % 5 AS cell, 'q' || user_id % 50 AS qname, event_id % 2 = 0 AS first, user_id % 4 > 0 AS paired, "
+    "SELECT event_id AS file_pos, 'f' || user_id % 9 AS file, CASE WHEN user_id % 13 = 5 THEN 'AAAAAAAAAA' ELSE event_type END AS umi, 'c' || user_id % 5 AS cell, 'q' || user_id % 50 AS qname, event_id % 2 = 0 AS first, user_id % 4 > 0 AS paired, "
     "CASE WHEN user_id % 11 > 0 THEN 'c' || user_id % 5 || '-1' END AS cb FROM events"
 )
 
 
 def records(spark, sf_dir) -> DataFrame:
     rows, text = table(spark, sf_dir, "events"), lambda p, n: F.concat(F.lit(p), (F.col("user_id") % n).cast("string"))
-    return rows.select(F.col("event_id").alias("file_pos"), text("f", 9).alias("file"), F.col("event_type").alias("umi"), text("c", 5).alias("cell"), text("q", 50).alias("qname"), (F.col("event_id") % 2 == 0).alias("first"), (F.col("user_id") % 4 > 0).alias("paired"), F.when(F.col("user_id") % 11 > 0, F.concat(text("c", 5), F.lit("-1"))).alias("cb"))
+    return rows.select(F.col("event_id").alias("file_pos"), text("f", 9).alias("file"), F.when(F.col("user_id") % 13 == 5, pairs.POLY_A).otherwise(F.col("event_type")).alias("umi"), text("c", 5).alias("cell"), text("q", 50).alias("qname"), (F.col("event_id") % 2 == 0).alias("first"), (F.col("user_id") % 4 > 0).alias("paired"), F.when(F.col("user_id") % 11 > 0, F.concat(text("c", 5), F.lit("-1"))).alias("cb"))
 
 
 @query("mate_join", _D + f"SELECT doc_id AS record_no, md5(dna || {_RC.format('dna')}) AS both FROM d")

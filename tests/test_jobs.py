@@ -13,7 +13,7 @@ from readloom.operators.orient import triage
 from readloom.plans.config import Config
 from readloom.plans.jobs import bam_result, file_kind
 from readloom.sources import bam
-from readloom.sources.fastq import read_fastq
+from readloom.sources.fastq import read_fastq, read_pairs
 from readloom.sources.library import load_library
 from tests.test_calling import CONFIG, RC
 
@@ -151,14 +151,35 @@ def test_ranges_of_a_file_hold_each_record_once(spark, files, size):
     assert [tuple(r)[1:13] for r in got.orderBy("file_pos").collect()] == [r[:12] for r in whole]
 
 
-def test_tags_that_are_not_text(spark, files):
-    raw = b"".join(data for _, data in bam.blocks(io.BytesIO(bam.encode(lone("u", "GG")))))
-    size = int.from_bytes(raw[12:16], "little")
-    new = raw[:12] + (size + 7).to_bytes(4, "little") + raw[16 : 16 + size] + b"NHi" + (5).to_bytes(4, "little")
+def with_tags(rows, *more):
+    """A BAM file of rows, the raw bytes of further tags added to each."""
+    raw = b"".join(data for _, data in bam.blocks(io.BytesIO(bam.encode(rows))))
+    new, at = raw[:12], 12
+    for tag in more:
+        size = int.from_bytes(raw[at : at + 4], "little")
+        new += (size + len(tag)).to_bytes(4, "little") + raw[at + 4 : at + 4 + size] + tag
+        at += 4 + size
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)
     data = packer.compress(new) + packer.flush()
-    block = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + (len(data) + 25).to_bytes(2, "little") + data + zlib.crc32(new).to_bytes(4, "little") + len(new).to_bytes(4, "little")
-    (files / "t.bam").write_bytes(block)
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + (len(data) + 25).to_bytes(2, "little") + data + zlib.crc32(new).to_bytes(4, "little") + len(new).to_bytes(4, "little")
+
+
+def test_records_that_cannot_be_decoded_are_left_out(spark, files):
+    (files / "t.bam").write_bytes(with_tags([*lone("a", "GG"), *lone("bad", "GG"), *lone("c", "GG")], b"", b"XXQ?", b""))
+    assert [r["qname"] for r in bam.read_bam(spark, str(files / "t.bam")).orderBy("file_pos").collect()] == ["a", "c"]
+
+
+def test_two_fastq_files_go_together_by_position(spark, files):
+    for name, seqs in (("r1", [GENE[:90], GENE[10:100]]), ("r2", [RC(GENE[100:190]), RC(GENE[110:200])]), ("few", [RC(GENE[100:190])])):
+        (files / f"{name}.fastq").write_text("".join(f"@{k}\n{s}\n+\n{'I' * 90}\n" for k, s in enumerate(seqs)))
+    got = read_pairs(spark, str(files / "r1.fastq"), str(files / "r2.fastq")).orderBy("pair_id").collect()
+    assert [tuple(r) for r in got] == [(k, GENE[10 * k : 90 + 10 * k], RC(GENE[100 + 10 * k : 190 + 10 * k])) for k in range(2)]
+    with pytest.raises(Exception, match="fewer reads"):
+        read_pairs(spark, str(files / "r1.fastq"), str(files / "few.fastq")).collect()
+
+
+def test_tags_that_are_not_text(spark, files):
+    (files / "t.bam").write_bytes(with_tags(lone("u", "GG"), b"NHi" + (5).to_bytes(4, "little")))
     rows = bam.read_bam(spark, str(files / "t.bam"))
     assert [(r["NH"], r["CB"]) for r in bam.project(rows).collect() + bam.project(rows, True).collect()] == [("5", "TTT-1"), ("", "TTT-1")]
 
