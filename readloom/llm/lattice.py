@@ -201,7 +201,8 @@ def near(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probe
     """
     spark = vectors.sparkSession
     n = kit.n_parts(spark)
-    e = F.col("embedding").cast("array<double>")
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # then half as many bytes travel; all arithmetic is in doubles
+    e = F.col("embedding") if single else F.col("embedding").cast("array<double>")
     sound = (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), e.alias("e"), F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)).alias("sound"))
     rows = rows.select("vec_id", "label", "e", "sound", F.when(F.col("sound"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("e").cast("array<string>")), 256)).alias("same"))

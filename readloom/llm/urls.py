@@ -19,8 +19,8 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 #: Bound on the labelled rows that the trees are grown on.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, SMOOTH = 16, 3, 12, 0.3, 1.0
-#: The rules are one expression; more of them than this are refused.
-MAX_RULES = 2000
+#: Up to so many rules are one expression; more are a table that meets the distinct hosts.
+IN_LINE = 100
 #: Folds of the labelled urls: the rate of a suffix leaves out the labels of the url's own fold.
 FOLDS = 5
 FEATURES = ("length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "suffix_count")
@@ -36,8 +36,6 @@ def host_path(url):
 
 def rule_of(host, path, rules=RULES):
     """The longest rule that fits (of equally long ones the smaller), or null; and its verdict."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     name = verdict = None
     for rule, what in sorted(rules, key=lambda x: (-len(x[0]), x[0])):
         h, _, p = rule.partition("/")
@@ -47,6 +45,21 @@ def rule_of(host, path, rules=RULES):
     return (name, verdict) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
+def with_rules(rows: DataFrame, rules=RULES) -> DataFrame:
+    """Adds rule and by_rule to rows with host and path: the rule of rule_of() and its verdict, for any number of rules."""
+    if len(rules) <= IN_LINE:
+        rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+        return rows.withColumn("rule", rule).withColumn("by_rule", verdict)
+    table = rows.sparkSession.createDataFrame([(*r.partition("/")[::2], r, v) for r, v in rules], "h string, p string, rule string, by_rule string")
+    hosts = rows.select(F.col("host").alias("of")).distinct()
+    parts = F.split("of", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    found = hosts.select("of", F.explode(ends).alias("h")).join(table, "h").groupBy("of").agg(F.collect_list(F.struct((-F.length("rule")).alias("n"), "rule", "by_rule", F.concat(F.lit("/"), "p").alias("start"))).alias("fit"))
+    fit = F.array_min(F.filter("fit", lambda x: F.startswith(F.col("path"), x["start"])))
+    out = rows.join(kit.apart(found, "of"), F.col("host") == F.col("of"), "left").withColumn("best", fit)
+    return out.withColumn("rule", F.col("best.rule")).withColumn("by_rule", F.col("best.by_rule")).drop("of", "fit", "best")
+
+
 def lexical(url, host, path) -> dict:
     n = F.greatest(F.length(url), F.lit(1))
     letters = F.split(url, "")
@@ -167,8 +180,7 @@ def _ruled(pages: DataFrame, rules, keep: list[str] | None) -> DataFrame:
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in (keep or pages.columns)]).alias("row"), url.alias("url"))
     host, path = host_path(F.col("url"))
     rows = rows.withColumn("host", host).withColumn("path", path)
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
+    return with_rules(rows, rules).withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
 
 
 def held_out(pages: DataFrame, rules=RULES) -> tuple[int, int, int]:

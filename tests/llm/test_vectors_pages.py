@@ -159,7 +159,9 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string, host string").cache()
 
 
-def test_rules_equal_brute_force(pages):
+@pytest.mark.parametrize("in_line", [100, 0])
+def test_rules_equal_brute_force(pages, monkeypatch, in_line):
+    monkeypatch.setattr(urls, "IN_LINE", in_line)
     for r in urls.judge(pages).collect():
         url = r["row"]["url"] or ""
         rest = url.partition("://")[2]
