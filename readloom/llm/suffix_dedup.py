@@ -39,6 +39,25 @@ _ANCHOR = np.dtype([("gram", "<u8"), ("ctx", "<u8"), ("key", "S12"), ("pos", "<u
 _ITEM = np.dtype([("key", "S12"), ("pos", "<u4"), ("left", "u1"), ("right", "u1"), ("multi", "u1")])
 
 
+_SPAN = np.dtype([("key", "S12"), ("a", "<u4"), ("b", "<u4")])
+
+
+def joined(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spans a to b of each key, those that touch made one."""
+    out = np.zeros(len(key), _SPAN)
+    if not len(key):
+        return out
+    order = np.lexsort((a, key))
+    key, a, b = key[order], a[order].astype(np.int64), b[order].astype(np.int64)
+    other = np.append(False, key[1:] != key[:-1])
+    high = np.cumsum(other) << 33
+    end = np.maximum.accumulate(b + high) - high
+    first = np.flatnonzero(np.append(True, other[1:] | (a[1:] > end[:-1])))
+    out = out[: len(first)]
+    out["key"], out["a"], out["b"] = key[first], a[first], end[np.append(first[1:], len(a)) - 1]
+    return out
+
+
 def slide(op, a: np.ndarray, w: int) -> np.ndarray:
     """op over each w consecutive values, by doubling."""
     k = 1
@@ -111,7 +130,7 @@ def _report(length: int, gram: int, buckets: int):
             size = np.diff(np.append(np.flatnonzero(new), len(a)))
             many = np.repeat(size > 1, size)
             a["multi"] = many
-            done, rest = a[many], a[new]
+            done, rest = joined(*_whole(a[many])), a[new]
             bucket = (rest["gram"] >> np.uint64(40)).astype(np.int64) % buckets
             rest = rest[np.argsort(bucket, kind="stable")]
             cut = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
@@ -135,7 +154,7 @@ def _report(length: int, gram: int, buckets: int):
     return run
 
 
-def _whole(a: np.ndarray, length: int):
+def _whole(a: np.ndarray):
     """Spans of anchors whose whole context occurs again."""
     return a["key"], a["pos"].astype(np.int64) - a["left"], a["pos"].astype(np.int64) + a["right"]
 
@@ -146,7 +165,7 @@ def _rows(key, start, end):
     return pa.RecordBatch.from_arrays([pa.array([x.ljust(12, b"\0") for x in key.tolist()], pa.binary()), pa.array(np.asarray(start, np.int64)), pa.array(np.asarray(end, np.int64))], names=["key", "a", "b"])
 
 
-def _grams(length: int, most: int):
+def _grams(most: int):
     """Per bucket: spans (a < b) of contexts that occur again, and requests for suffixes to compare: a = position, b = -1 (-2 for a partner, -3 in a hot gram)."""
 
     def settle(parts):
@@ -163,7 +182,8 @@ def _grams(length: int, most: int):
         single = rep & ~again
         mixed = (np.bincount(of_g, single) > 0)[of_g]
         owner = rep & again & c & mixed
-        yield _rows(*_whole(a[again & (a["multi"] == 0)], length))
+        again = joined(*_whole(a[again & (a["multi"] == 0)]))
+        yield _rows(again["key"], again["a"], again["b"])
         ask = single | owner
         hot = (np.bincount(of_g, ask) > most)[of_g]
         yield _rows(a["key"][ask], a["pos"][ask], np.where(hot[ask], -3, np.where(owner[ask], -2, -1)))
@@ -179,7 +199,8 @@ def _grams(length: int, most: int):
                 if anchors_.as_buffer().size:
                     parts.append(np.frombuffer(anchors_.as_py(), _ANCHOR))
                 if done.as_buffer().size:
-                    yield _rows(*_whole(np.frombuffer(done.as_py(), _ANCHOR), length))
+                    spans = np.frombuffer(done.as_py(), _SPAN)
+                    yield _rows(spans["key"], spans["a"], spans["b"])
         if parts:
             yield from settle(parts)
 
@@ -396,7 +417,7 @@ def _windows(length: int, gram: int):
 def hot_repeats(texts: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
     """Spans of strings at anchors of hot grams: no task gathers a gram, each string meets its equals by digest, counted in part before the shuffle."""
     asked = found.where("b = -3").groupBy("key").agg(F.collect_list("a").alias("asked"))
-    seen = kit.stage(texts.join(asked, "key").select("text", "key", "asked").mapInArrow(kit.tidy(_windows(length, gram)), "key binary, a long, digest binary").distinct(), "windows")
+    seen = kit.stage(texts.join(kit.apart(asked, "key"), "key").select("text", "key", "asked").mapInArrow(kit.tidy(_windows(length, gram)), "key binary, a long, digest binary").distinct(), "windows")
     again = seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     return seen.join(again, "digest").select("key", "a", (F.col("a") + length).alias("b"))
 
@@ -410,10 +431,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     text = F.col("text").cast("string")
     texts = docs.where(F.octet_length(text) >= length).select(_key(text).alias("key"), text.alias("text"))
     rows = texts.mapInArrow(kit.tidy(_report(length, gram, 2 * n)), "bucket int, anchors binary, done binary")
-    found = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(kit.tidy(_grams(length, HOT)), "key binary, a long, b long")
+    found = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(kit.tidy(_grams(HOT)), "key binary, a long, b long")
     found = kit.stage(found, "grams")
     asked = found.where("b IN (-1, -2)").groupBy("key").agg(F.collect_list(F.col("a") * 2 + F.when(F.col("b") == -2, 1).otherwise(0)).alias("asked"))
-    runs = texts.join(asked, "key").select("text", "key", "asked").mapInArrow(kit.tidy(_runs(length, gram, _borders(texts, length, gram, n))), "range int, items binary, shared binary, bytes binary")
+    runs = texts.join(kit.apart(asked, "key"), "key").select("text", "key", "asked").mapInArrow(kit.tidy(_runs(length, gram, _borders(texts, length, gram, n))), "range int, items binary, shared binary, bytes binary")
     more = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(kit.tidy(_merge(length, gram)), "key binary, a long, b long")
     spans = found.where("b > 0").union(kit.stage(more, "repeats"))
     return spans.union(hot_repeats(texts, found, length, gram)) if found.where("b = -3").head(1) else spans
@@ -458,7 +479,7 @@ def strip(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None,
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     spans = spans_by_text(docs, length)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("row"), text.alias("text"), _key(text).alias("key"))
-    both = rows.join(spans, "key", "left").select(
+    both = rows.join(kit.apart(spans, "key"), "key", "left").select(
         "row", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("spans").isNull(), F.sha2("text", 256)).alias("sha"), F.when(F.col("spans").isNotNull(), F.col("text")).alias("text"), "spans"
     )
 
