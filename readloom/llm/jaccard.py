@@ -9,7 +9,7 @@
    enumerated, and two sets that link share one. Larger sets are heavy: the inverted lists of their first shingles are scanned.
    The boundary is the size at which the two costs, summed over all sets, are least.
 4. *Join.* Sets that a chain of common signatures connects form a cluster; clusters are joined exactly, in blocks
-   of bounded size (each pair of blocks is one task). Two sets that are linked already, over others, aren't compared again: that
+   of bounded size (each pair of blocks is one task, to which the sets go that have a partner there on some signature). Two sets that are linked already, over others, aren't compared again: that
    loses no component, and a group of near copies costs about its size, not its square.
 """
 
@@ -321,6 +321,15 @@ def _blocks(boundary: int, percent: int):
     return run
 
 
+def _partners(near: DataFrame, keys: DataFrame) -> DataFrame:
+    """(node, comp, block, with) for the sets of clusters of several blocks: the blocks in which a set has a partner on some signature. It goes nowhere else,
+    so a chain of many sets costs what its candidates cost and not the square of its blocks."""
+    posted = keys.join(near.select("node", "comp", "block"), "node")
+    blocks = posted.groupBy("sign").agg(F.collect_set("block").alias("blocks")).where(F.size("blocks") > 1)
+    found = posted.join(kit.apart(blocks, "sign"), "sign").select("node", "comp", "block", F.explode("blocks").alias("with"))
+    return found.where("block <> with").distinct()
+
+
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, n, grp) for each distinct text key: its number of shingles and the name of its component (null without words).
 
@@ -342,7 +351,6 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     keys = kit.stage(sets.select("node", "n", "tokens").mapInArrow(kit.tidy(_keys(boundary, percent)), "node long, sign long"), "signatures")
     center = keys.groupBy("sign").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other").select("sign", "center")
     stars = kit.stage(keys.join(kit.apart(center, "sign"), "sign").where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), "stars")
-    kit.discard(keys)
     star_comps = kit.components(stars)
     near = kit.stage(star_comps, "clusters")
     kit.discard(stars), kit.discard(star_comps)
@@ -351,11 +359,13 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     load = near.groupBy("comp").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("of"))
     near = near.join(kit.apart(load, "comp"), "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     near = kit.stage(near.select("comp", "of", "block", "node"), "blocks")
-    pair = F.when(F.col("of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))
-    full = near.join(sets.select("node", "n", "tokens"), "node").withColumn("with", F.explode(pair))
+    to = near.select("node", "comp", "block", F.col("block").alias("with"))
+    if near.where("of > 1").head(1):
+        to = to.unionByName(_partners(near.where("of > 1"), keys)).distinct()
+    full = to.join(sets.select("node", "n", "tokens"), "node")
     full = full.select("comp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "n", "block", "tokens")
     links = kit.stage(full.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(kit.tidy(_blocks(boundary, percent)), "a long, b long"), "links")
-    kit.discard(near)
+    kit.discard(near), kit.discard(keys)
     comps = kit.components(links)
     name = sets.select("sig", "node").join(comps, "node").select("sig", F.col("comp").cast("string").alias("comp"))
     out = members.join(name, "sig", "left").select("key", "n", F.when(F.col("n") > 0, F.coalesce("comp", F.hex("sig"))).alias("grp"))
