@@ -339,7 +339,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     n = kit.n_parts(spark)
     text = F.col("text").cast("string")
     rows = docs.where(text.isNotNull()).select(_key(text).alias("key"), text.alias("text"))
-    sent = rows.mapInArrow(kit.tidy(_report(k, 2 * n)), _REPORT).repartition(n, "bucket").sortWithinPartitions("bucket")
+    sent = kit.dealt(rows.mapInArrow(kit.tidy(_report(k, 2 * n)), _REPORT), n, "bucket")
     back = kit.stage(sent.mapInArrow(kit.tidy(_count), _BACK), "counts")
     members = kit.stage(back.where("sets IS NOT NULL").select("sets").mapInArrow(kit.tidy(_members), "key binary, sig binary, n long").distinct(), "members")
     alive = back.select("flush", "bucket", "tokens", "df", "alive", "holders", "cut", "nodes", "sizes").repartition(n, "flush").sortWithinPartitions("flush").mapInArrow(kit.tidy(_survivors(percent)), "sig binary, n int, tokens array<long>, scan double, subsets double")

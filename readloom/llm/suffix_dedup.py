@@ -431,11 +431,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     text = F.col("text").cast("string")
     texts = docs.where(F.octet_length(text) >= length).select(_key(text).alias("key"), text.alias("text"))
     rows = texts.mapInArrow(kit.tidy(_report(length, gram, 2 * n)), "bucket int, anchors binary, done binary")
-    found = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(kit.tidy(_grams(HOT)), "key binary, a long, b long")
+    found = kit.dealt(rows, n, "bucket").mapInArrow(kit.tidy(_grams(HOT)), "key binary, a long, b long")
     found = kit.stage(found, "grams")
     asked = found.where("b IN (-1, -2)").groupBy("key").agg(F.collect_list(F.col("a") * 2 + F.when(F.col("b") == -2, 1).otherwise(0)).alias("asked"))
     runs = texts.join(kit.apart(asked, "key"), "key").select("text", "key", "asked").mapInArrow(kit.tidy(_runs(length, gram, _borders(texts, length, gram, n))), "range int, items binary, shared binary, bytes binary")
-    more = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(kit.tidy(_merge(length, gram)), "key binary, a long, b long")
+    more = kit.dealt(runs, n, "range").mapInArrow(kit.tidy(_merge(length, gram)), "key binary, a long, b long")
     spans = found.where("b > 0").union(kit.stage(more, "repeats"))
     return spans.union(hot_repeats(texts, found, length, gram)) if found.where("b = -3").head(1) else spans
 

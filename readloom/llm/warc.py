@@ -264,7 +264,7 @@ def places(asked: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
 
     blocks = directory.select("first", "first_page", "last", "last_page", "file", "at", "size").mapInArrow(kit.tidy(of_blocks), _DEALT)
     dealt = asked.select("key", "page_id").mapInArrow(kit.tidy(of_requests), _DEALT).unionAll(blocks)
-    return dealt.repartition(n, "cell").sortWithinPartitions("cell", "asks", "key", "page_id", "last", "last_page").mapInArrow(kit.tidy(search), "file string, at long, size long")
+    return kit.dealt(dealt, n, "cell", "asks", "key", "page_id", "last", "last_page").mapInArrow(kit.tidy(search), "file string, at long, size long")
 
 
 def records(found: DataFrame, folder: str) -> DataFrame:
