@@ -92,7 +92,7 @@ def _cells(tables: int, probes: int, scale: float):
             for b in _by_width(batch, 2) if len(batch) else ():
                 x = _units(b.column(2))
                 label = kit.mix(b.column(1).to_numpy().astype(np.int64).view(np.uint64) + np.uint64(1))
-                found = cells(x, kit.mix(label + np.uint64(x.shape[1]) * np.uint64(0x9E3779B97F4A7C15)), tables, probes, scale)
+                found = cells(x, kit.mix(label + np.uint64(x.shape[1] * 0x9E3779B97F4A7C15 % 2**64)), tables, probes, scale)
                 flat = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), flat, pa.array(np.full(len(b), x.shape[1]), pa.int32())], names=["node", "cells", "width"])
 
