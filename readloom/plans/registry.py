@@ -16,6 +16,7 @@ from readloom.operators import align, counts, orient, pairs
 from readloom.plans import jobs, scratch
 from readloom.plans.config import CHEMISTRIES, REQUIRED, Config
 from readloom.sources import bam, fastq, library, sinks
+from readloom.sources.files import file_system
 
 _MADE: dict = {}
 _SQL: dict[str, str] = {}
@@ -532,13 +533,10 @@ def _bam_file(folder: str, record):
     """Each task writes its rows as one file, named by its number, so that a repeated attempt replaces it."""
 
     def run(batches):
-        import re
-
         import pyarrow as pa
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        system, base = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
+        system, base = file_system(folder)
         name = f"part-{TaskContext.get().partitionId():06d}.bam"
         with system.open_output_stream(f"{base}/{name}") as f:
             for block in bam.encoded(x for b in batches for r in b.to_pylist() for x in record(r)):

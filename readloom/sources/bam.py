@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from readloom.sources.files import file_system
+
 # Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08\x04"
 BASES = "=ACMGRSVTWYHKDBN"
@@ -281,7 +283,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", self.path if ":" in self.path else f"file://{self.path}"))
+        system, base = file_system(self.path)
         info = system.get_file_info(base)
         found = [info] if info.type == fs.FileType.File else sorted((x for x in system.get_file_info(fs.FileSelector(base)) if x.path.endswith(".bam")), key=lambda x: x.path)
         head = self.path.split(base)[0] if ":" in self.path else "file://"
@@ -289,11 +291,10 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         import pyarrow as pa
-        from pyarrow import fs
 
         path, low, high, size = partition.value
         uri = re.sub("^file:/+", "file:///", path)
-        system, base = fs.FileSystem.from_uri(uri)
+        system, base = file_system(uri)
         kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int32()] * 4, pa.string(), *[pa.int32()] * 3, pa.string(), pa.list_(pa.int32()), pa.map_(pa.string(), pa.string()), pa.list_(pa.string())]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         with system.open_input_file(base) as f:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from readloom.sources.files import file_system
+
 
 GZIP, BATCH = b"\x1f\x8b", 1 << 16
 
@@ -29,15 +31,13 @@ def _streamed(batches):
     """(file, line, value) of the lines of files, gzipped or not by their content; a file is one stream."""
     import gzip
     import io
-    import re
     from itertools import islice
 
     import pyarrow as pa
-    from pyarrow import fs
 
     for b in batches:
         for name in b.column(0).to_pylist():
-            system, base = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+            system, base = file_system(name)
             with system.open_input_file(base) as f:
                 packed = f.read(2) == GZIP
                 f.seek(0)
