@@ -16,8 +16,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
-from itertools import combinations, count
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,7 +28,7 @@ from readloom.llm import kit
 #: Link if PERCENT * union <= 100 * intersection.
 SHINGLE, PERCENT = 5, 75
 SUBSET = 2
-#: Shingles that a task holds before it hands them on; shingles of the sets in a block.
+#: Shingles that a task holds before it hands them on; shingles and subsets of the sets in a block.
 FLUSH, BLOCK = 1 << 20, 1 << 20
 #: Cost of meeting one entry of an inverted list, in signatures (each of those is shuffled, sorted and grouped).
 ENTRY = 0.02
@@ -246,56 +245,65 @@ def _keys(boundary: int, percent: int):
 
 
 def join_block(nodes: list[int], ns: list[int], tokens: list[np.ndarray], blocks: list[int], boundary: int, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what links in a block, or across two. Sets come by rising size; each meets the smaller ones on its keys."""
-    cross = len(set(blocks)) > 1
-    sizes = [len(t) for t in tokens]
-    _, flat = np.unique(np.concatenate(tokens), return_inverse=True)
-    local = np.split(flat, np.cumsum(sizes)[:-1])
-    held = np.zeros(flat.max() + 1, bool)
-    root = list(range(len(nodes)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    light, lists, links = defaultdict(list), defaultdict(list), []
-    for x in sorted(range(len(nodes)), key=lambda i: ns[i]):
-        n, t = ns[x], local[x]
+    """Links that connect what links in a block, or across two. Sets come by rising size; each meets the smaller ones on its keys.
+
+    Keys and who holds them are flat arrays. A set that is linked to a component isn't compared with others of it.
+    """
+    order = np.argsort(ns, kind="stable")
+    sizes, side, cross = np.asarray(ns)[order], np.asarray(blocks)[order], len(set(blocks)) > 1
+    local = [tokens[i] for i in order]
+    ends = np.cumsum([0] + [len(t) for t in local])
+    kinds, flat = np.unique(np.concatenate(local), return_inverse=True)
+    many = len(kinds)
+    posted = []  # keys of a set, and whether it looks for others there
+    for x, n in enumerate(sizes.tolist()):
+        t = flat[ends[x] : ends[x + 1]]
         gone = n - len(t)
-        one = t[: max(0, room(n, percent) + 1 - gone)].tolist()
-        two = list(combinations(sorted(t[: max(0, room(n, percent) + SUBSET - gone)].tolist()), 2)) if n <= boundary else ()
-        met: set[int] = set()
         if n <= boundary:
-            for key in two:
-                if key in light:
-                    met.update(light[key])
-        else:
-            for key in one:
-                if key in lists:
-                    met.update(lists[key])
-        if met:
-            held[t] = True
-            rest = [y for y in met if 100 * ns[y] >= percent * n and not (cross and blocks[y] == blocks[x])]
-            while rest:
-                top = find(x)
-                rest = [y for y in rest if find(y) != top]
-                some, rest = rest[:32], rest[32:]
-                if not some:
-                    break
-                starts = np.cumsum([0] + [len(local[y]) for y in some[:-1]])
-                common = np.add.reduceat(held[np.concatenate([local[y] for y in some])].astype(np.int64), starts)
-                for y, both in zip(some, common.tolist()):
-                    if 100 * both >= percent * (n + ns[y] - both):
-                        links.append((nodes[x], nodes[y]))
-                        root[find(y)] = find(x)
-            held[t] = False
-        for key in two:
-            light[key].append(x)
+            first = np.sort(t[: max(0, room(n, percent) + SUBSET - gone)])
+            i, j = np.triu_indices(len(first), 1)
+            posted.append((first[i] * many + first[j], x, True))
         if 100 * n >= percent * (boundary + 1):
-            for key in one:
-                lists[key].append(x)
+            posted.append((t[: max(0, room(n, percent) + 1 - gone)] - many, x, n > boundary))  # below zero: no pair's key
+    count = [len(k) for k, _, _ in posted]
+    keys, owner, sought = np.concatenate([k for k, _, _ in posted]), np.repeat([x for _, x, _ in posted], count), np.repeat([s for _, _, s in posted], count)
+    by = np.argsort(keys, kind="stable")  # and by set, since postings came in that order
+    keys, owner, sought = keys[by], owner[by].astype(np.int32), sought[by]
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
+    start = np.repeat(start, np.diff(np.append(start, len(keys))))  # of each posting's list
+    places = np.argsort(owner, kind="stable")
+    cut = np.searchsorted(owner[places], np.arange(len(sizes) + 1))
+    root, held, links = np.arange(len(sizes)), np.zeros(many, bool), []
+    # by a list's start: its first set, and whether all sets so far hang together with it (merging keeps that true)
+    top, whole = np.zeros(len(keys), np.int32), np.ones(len(keys), bool)
+
+    def compare(x: int, rest: np.ndarray) -> None:
+        rest = rest[(root[rest] != root[x]) & (100 * sizes[rest] >= percent * sizes[x])]
+        rest = np.unique(rest[side[rest] != side[x]] if cross else rest)
+        while len(rest):
+            some, rest = rest[:64], rest[64:]
+            span = ends[some + 1] - ends[some]
+            at = np.append(0, np.cumsum(span)[:-1])
+            both = np.add.reduceat(held[flat[np.repeat(ends[some] - at, span) + np.arange(span.sum())]].astype(np.int64), at)
+            for y in some[100 * both >= percent * (sizes[x] + sizes[some] - both)].tolist():
+                if root[y] != root[x]:
+                    links.append((nodes[order[x]], nodes[order[y]]))
+                    root[root == root[y]] = root[x]
+            rest = rest[root[rest] != root[x]]
+
+    for x in range(len(sizes)):
+        mine = places[cut[x] : cut[x + 1]]
+        lists, before = start[mine], mine - start[mine]
+        seek = sought[mine] & (before > 0)
+        if seek.any():
+            held[flat[ends[x] : ends[x + 1]]] = True
+            compare(x, top[lists[seek]])  # most copies link here, and their lists need no reading
+            seek &= ~(whole[lists] & (root[top[lists]] == root[x]))
+            low, n = lists[seek], before[seek]
+            compare(x, owner[np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())] if len(n) else low)
+            held[flat[ends[x] : ends[x + 1]]] = False
+        top[lists[before == 0]] = x
+        whole[lists] &= root[top[lists]] == root[x]
     return links
 
 
@@ -354,7 +362,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     star_comps = kit.components(stars)
     near = kit.stage(star_comps, "clusters")
     kit.discard(stars), kit.discard(star_comps)
-    size = sets.select("node", F.size("tokens").alias("size"))
+    size = sets.select("node", (F.size("tokens") + F.when(F.col("n") <= boundary, F.col("subsets")).otherwise(0)).alias("size"))
     near = near.join(size, "node")
     load = near.groupBy("comp").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("of"))
     near = near.join(kit.apart(load, "comp"), "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
