@@ -61,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written as Parquet and read back before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = kit.stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, kit.stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        kit.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
