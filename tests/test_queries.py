@@ -8,7 +8,6 @@ from readloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ("entropy", "maxinfo", "natural_sort", "kmer_index", "pseudoalign", "feature_counts", "counts_paired_fallback", "audit_rows", "orient_unstranded", "triage", "umi_groups", "pair_by_name", "fastq_scan", "record_projection", "bam_audit", "library_file", "trim_reads", "reason_chain", "counts_paired_force", "audit_join", "unscored_pairs")
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +25,7 @@ def plain(v):
     return f"{v:.9g}" if isinstance(v, float) else repr(v)
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     df = registry.queries()[name](spark, DATA)
     cols = sorted(df.columns)
