@@ -30,12 +30,10 @@ def rna_to_dna(seq: Column) -> Column:
 def entropy(seq: Column) -> Column:
     """Shannon entropy in bits over A, C, G and T; other letters count in the length only; 0 for an empty sequence."""
     n = F.length(seq)
-
-    def part(base: str) -> Column:
-        p = (n - F.length(F.replace(seq, F.lit(base), F.lit("")))) / n
-        return F.when(p > 0, -p * F.log2(p)).otherwise(F.lit(0.0))
-
-    return F.when(n == 0, F.lit(0.0)).otherwise(part("A") + part("C") + part("G") + part("T"))
+    # each count is made once: as a bound variable, since a column that stands thrice may be evaluated thrice
+    found = F.array(*[(n - F.length(F.replace(seq, F.lit(base), F.lit("")))) / n for base in "ACGT"])
+    bits = F.aggregate(found, F.lit(0.0), lambda total, p: total + F.when(p > 0, -p * F.log2(p)).otherwise(F.lit(0.0)))
+    return F.when(n == 0, F.lit(0.0)).otherwise(bits)
 
 
 def oriented(seq: Column, reverse: Column) -> Column:
@@ -149,8 +147,23 @@ def kmers(seq: Column, k: int = KMER) -> Column:
     return F.when(n < 0, F.array().cast("array<string>")).when(F.octet_length(seq) == F.length(seq), by_byte).otherwise(by_letter)
 
 
+def stretches(seq: Column, k: int, seed: int) -> Column:
+    """The k-mers of a sequence in groups of k - seed + 1 that follow each other, each as the stretch of letters they cover; the last may be shorter.
+
+    All k-mers of a stretch share its ``seed`` letters from position k - seed on (see seed_of). One pass of a pattern, so that long
+    sequences cost no more by the letter than short ones.
+    """
+    step = k - seed + 1
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k},{k + step - 1}}})).{{{step}}}"), F.lit(1))
+
+
+def seed_of(stretch: Column, k: int, seed: int) -> Column:
+    """The letters that all k-mers of a stretch share."""
+    return F.substring(stretch, k - seed + 1, seed)
+
+
 def dna_of_text(text: Column) -> Column:
     """Letters of a text as bases (a, e, i ... are A; b, f, j ... C; and so on); everything else goes."""
     low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     bases = ("ACGT" * 7)[:26]
-    return F.regexp_replace(F.translate(F.regexp_replace(text, "[^A-Za-z]", ""), low + up, bases * 2), "[^ACGT]", "")
+    return F.translate(F.regexp_replace(text, "[^A-Za-z]+", ""), low + up, bases * 2)

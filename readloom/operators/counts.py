@@ -28,10 +28,10 @@ def valid_pair(a, b):
     return F.coalesce((F.size(a) > 0) & (F.array_sort(a) == F.array_sort(b)), F.lit(False))
 
 
-def trace(pairs: DataFrame, library: DataFrame, cfg: Config, found: DataFrame | None = None) -> DataFrame:
-    """(pair_id, r1, r2, features, triage) of distinct pairs, whose ids may be of any type: r1 and r2 are structs of reason, norm, score, shown score (0 unless the read itself matched) and class, triage is null for pairs without a call. ``found`` may hold the alignment of the pairs' prepared mates."""
+def trace(pairs: DataFrame, library: DataFrame, cfg: Config, found: DataFrame | None = None, hit_only: bool = False) -> DataFrame:
+    """(pair_id, r1, r2, features, triage) of distinct pairs, whose ids may be of any type: r1 and r2 are structs of reason, norm, score, shown score (0 unless the read itself matched) and class, triage is null for pairs without a call. ``found`` may hold the alignment of the pairs' prepared mates. With ``hit_only``, mates without a hit are left out, and pairs without any: none of them has a call."""
     reads = mates(pairs)
-    aligned = align.align_reads(reads.select("read_id", "seq", "skip"), library, cfg, found)
+    aligned = align.align_reads(reads.select("read_id", "seq", "skip"), library, cfg, found, hit_only)
     aligned = aligned.withColumn("pair_id", F.col("read_id.pair_id")).withColumn("mate", F.col("read_id.mate"))
     shown = F.when(F.col("cls").isNotNull(), F.col("score")).otherwise(0).alias("shown")
     side = lambda m: F.max(F.when(F.col("mate") == m, F.struct("reason", "norm", "score", shown, "cls")))
@@ -52,7 +52,7 @@ def trace(pairs: DataFrame, library: DataFrame, cfg: Config, found: DataFrame |
 
 def feature_counts(pairs: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:
     """(features, score): how many distinct pairs call each feature set. pairs: (pair_id, r1, r2)."""
-    return counted(trace(dedup_pairs(pairs), library, cfg))
+    return counted(trace(dedup_pairs(pairs), library, cfg, hit_only=True))
 
 
 def counted(traced: DataFrame) -> DataFrame:
@@ -82,8 +82,8 @@ def counts_by_library(pairs: DataFrame, libraries: list[tuple[Config, DataFrame]
     if len(libraries) == 1:
         return [feature_counts(pairs, library, cfg) for cfg, library in libraries]
     distinct = scratch.hold(dedup_pairs(pairs), "pairs")
-    found = scratch.hold(align.pseudoalign_all(align.prepared(mates(distinct)), [library for _, library in libraries]), "aligned")
-    return [counted(trace(distinct, library, cfg, found.where(F.col("lib") == n).drop("lib"))) for n, (cfg, library) in enumerate(libraries)]
+    found = scratch.hold(align.pseudoalign_all(align.prepared(mates(distinct)), [library for _, library in libraries], fit=True), "aligned")
+    return [counted(trace(distinct, library, cfg, found.where(F.col("lib") == n).drop("lib"), hit_only=True)) for n, (cfg, library) in enumerate(libraries)]
 
 
 def many_libraries(pairs: DataFrame, libraries: list[tuple[str, DataFrame, Config]]) -> DataFrame:

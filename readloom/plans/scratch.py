@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -30,9 +31,19 @@ def hold(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+@contextlib.contextmanager
+def passing():
+    """What is made within goes at the end, where the same process makes more again and again."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        clear(before)
+
+
 @atexit.register
-def clear() -> None:
-    while _made:
+def clear(least: int = 0) -> None:
+    while len(_made) > least:
         spark, out = _made.pop()
         try:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.operators import align, counts
+from readloom.plans import scratch
 from readloom.plans.config import Config
 
 
@@ -16,7 +17,8 @@ def stream_counts(pairs: DataFrame, library: DataFrame, cfg: Config, sink):
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        found = counts.trace(counts.dedup_pairs(batch), library, cfg).where(F.col("triage") == align.MATCH)
-        sink(found.groupBy("features").agg(F.count("*").alias("score")), number)
+        with scratch.passing():
+            found = counts.trace(counts.dedup_pairs(batch), library, cfg, hit_only=True).where(F.col("triage") == align.MATCH)
+            sink(found.groupBy("features").agg(F.count("*").alias("score")), number)
 
     return pairs.writeStream.foreachBatch(each)

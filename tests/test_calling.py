@@ -3,10 +3,12 @@
 import itertools
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from readloom.functions import seq
 from readloom.operators import align, counts, orient, pairs
 from readloom.plans.config import CHEMISTRIES, Config, trim_overrides
 from readloom.sources import bam, fastq, library, sinks
@@ -147,3 +149,28 @@ def test_bam_round_trip(spark, tmp_path):
     assert [(r["qname"], r["flag"], r["pos"], r["cigar"], r["seq"], r["quality"], r["tags"]) for r in got] == [(a, b, d, f, s, q, t) for a, b, _, d, _, f, _, _, _, s, q, t in rows]
     shown = bam.project(bam.read_bam(spark, str(tmp_path / "x.bam"))).where("qname = 'q1'").first()
     assert shown["REVERSE"] == "true" and shown["CB"] == "c1-1" and shown["UB"] == "" and shown["PAIR_ORIENTATION"] == "R1F2" and shown["SEQ_LEN"] == "51"
+
+
+def test_stretches_hold_each_kmer_once(spark):
+    letters = "ACGTTGCAAGCTNé"
+    texts = [None, *("".join(letters[i * i % 13 + i % 2] for i in range(n)) for n in (0, 4, 5, 6, 7, 13, 40, 41, 42, 43, 44, 45, 97))]
+    for k, seed in ((5, 5), (5, 3), (30, 16)):
+        step = k - seed + 1
+        rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", seq.stretches(F.col("s"), k, seed).alias("x"))
+        for r in rows.select("s", "x", F.transform("x", lambda x: seq.seed_of(x, k, seed)).alias("seeds")).collect():
+            got = [(n * step + i, x[i : i + k], y) for n, (x, y) in enumerate(zip(r["x"] or [], r["seeds"] or [])) for i in range(len(x) - k + 1)]
+            assert [g[:2] for g in got] == [(i, r["s"][i : i + k]) for i in range(len(r["s"] or "") - k + 1)]
+            assert all(y in kmer and len(y) == seed for _, kmer, y in got)
+
+
+def test_long_reads_cost_no_more_by_the_letter(spark):
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choices("ACGT", k=n))
+    one, far = draw(80), draw(1_000_000)
+    rows = spark.createDataFrame([(1, far[:500_007] + one[:70] + far[500_007:], None), (2, far, None), (3, draw(31) + one[10:], one)], "pair_id long, r1 string, r2 string")
+    lib = spark.createDataFrame([(0, "a", "a", False, one)], "ref_idx long, feature string, grp string, is_rev boolean, sequence string")
+    began = time.time()
+    found = {r["read_id"]: (r["cls"], r["score"] > 0) for r in align.pseudoalign(rows.select(F.col("pair_id").alias("read_id"), F.col("r1").alias("seq")), lib).collect()}
+    assert found == {1: ([0], True), 3: ([0], True)}
+    assert [r["n"] for r in align.kmer_index(lib).agg(F.count("*").alias("n")).collect()] == [51]
+    assert time.time() - began < 60  # each k-mer was cut from a copy of its whole read
