@@ -174,3 +174,13 @@ def test_long_reads_cost_no_more_by_the_letter(spark):
     assert found == {1: ([0], True), 3: ([0], True)}
     assert [r["n"] for r in align.kmer_index(lib).agg(F.count("*").alias("n")).collect()] == [51]
     assert time.time() - began < 60  # each k-mer was cut from a copy of its whole read
+
+
+@pytest.mark.parametrize("cfg", [Config(score_threshold=40, num_mismatches=1, chemistry="unstranded", intersect_level=1), Config(score_threshold=40, num_mismatches=1, require_valid_pair=True)], ids=["fallback", "valid_pair"])
+def test_counts_need_no_reads_without_a_hit(spark, tmp_path, cfg):
+    _, lib = load(spark, tmp_path, ["v0", "w"], [GENE, OTHER])
+    far = random.Random(5)
+    none = "".join(far.choices("ACGT", k=90))
+    rows = spark.createDataFrame([(0, GENE[:85], RC(GENE[50:140])), (1, OTHER[:80], none), (2, none, None), (3, GENE[:90], GENE[20:110]), (4, GENE[:39], OTHER[:70])], "pair_id long, r1 string, r2 string")
+    full, lean = ({r["pair_id"]: (r["features"], r["triage"]) for r in counts.trace(rows, lib, cfg, hit_only=only).collect()} for only in (False, True))
+    assert set(full) == set(range(5)) and set(lean) == {0, 1, 3, 4} and lean == {n: full[n] for n in lean} and full[2] == (None, None)
