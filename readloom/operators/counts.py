@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import seq
-from readloom.operators import align, orient
+from readloom.operators import align, orient, screen
 from readloom.plans import scratch
 from readloom.plans.config import Config
 
@@ -52,7 +52,12 @@ def trace(pairs: DataFrame, library: DataFrame, cfg: Config, found: DataFrame |
 
 def feature_counts(pairs: DataFrame, library: DataFrame, cfg: Config) -> DataFrame:
     """(features, score): how many distinct pairs call each feature set. pairs: (pair_id, r1, r2)."""
-    return counted(trace(dedup_pairs(pairs), library, cfg, hit_only=True))
+    return counted(trace(candidates(pairs, [library]), library, cfg, hit_only=True))
+
+
+def candidates(pairs: DataFrame, libraries: list[DataFrame]) -> DataFrame:
+    """The distinct pairs that may have a call, written once. The others go before equal pairs meet, so their letters aren't shuffled."""
+    return scratch.hold(dedup_pairs(screen.screened(pairs, libraries)), "pairs")
 
 
 def counted(traced: DataFrame) -> DataFrame:
@@ -81,7 +86,7 @@ def counts_by_library(pairs: DataFrame, libraries: list[tuple[Config, DataFrame]
     """(features, score) for each of several libraries with settings of their own. Pairs are read and aligned once for all of them."""
     if len(libraries) == 1:
         return [feature_counts(pairs, library, cfg) for cfg, library in libraries]
-    distinct = scratch.hold(dedup_pairs(pairs), "pairs")
+    distinct = candidates(pairs, [library for _, library in libraries])
     found = scratch.hold(align.pseudoalign_all(align.prepared(mates(distinct)), [library for _, library in libraries], fit=True), "aligned")
     return [counted(trace(distinct, library, cfg, found.where(F.col("lib") == n).drop("lib"), hit_only=True)) for n, (cfg, library) in enumerate(libraries)]
 

@@ -5,11 +5,14 @@ import json
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import seq
-from readloom.operators import align, counts, orient, pairs
+from readloom.operators import align, counts, orient, pairs, screen
+from readloom.plans import scratch
 from readloom.plans.config import CHEMISTRIES, Config, trim_overrides
 from readloom.sources import bam, fastq, library, sinks
 
@@ -184,3 +187,45 @@ def test_counts_need_no_reads_without_a_hit(spark, tmp_path, cfg):
     rows = spark.createDataFrame([(0, GENE[:85], RC(GENE[50:140])), (1, OTHER[:80], none), (2, none, None), (3, GENE[:90], GENE[20:110]), (4, GENE[:39], OTHER[:70])], "pair_id long, r1 string, r2 string")
     full, lean = ({r["pair_id"]: (r["features"], r["triage"]) for r in counts.trace(rows, lib, cfg, hit_only=only).collect()} for only in (False, True))
     assert set(full) == set(range(5)) and set(lean) == {0, 1, 3, 4} and lean == {n: full[n] for n in lean} and full[2] == (None, None)
+
+
+@pytest.mark.parametrize("block", [60, screen.BLOCK])
+def test_screen_finds_each_kmer_and_no_others(monkeypatch, block):
+    monkeypatch.setattr(screen, "BLOCK", block)
+    near = random.Random(block)
+    some = lambda letters, n: "".join(near.choices(letters, k=n))
+    sequences = [some("ACGT", near.choice([10, 29, 30, 45, 200])) for _ in range(40)] + ["ACGTN" * 20, ""]
+    kmers = {x for s in sequences for i in range(len(s) - 29) if set(x := s[i : i + 30]) <= set("ACGT")}
+    judge = screen.Screen(sequences)
+    table = np.zeros(screen.SLOTS, bool)
+    table[screen._slots(judge.words)] = True
+    for _ in range(40):
+        reads = []
+        for _ in range(near.randint(0, 40)):
+            s, one, at = some(near.choice(["ACGT", "ACGTN"]), near.randint(0, 120)), near.choice(sequences), near.randint(0, 60)
+            s = s[:at] + one[at : at + near.choice([0, 25, 29, 30, 40])] + s[at:]
+            reads.append(near.choice([s, s, s, s.lower(), None]))
+        want = [any((r or "").upper()[i : i + 30] in kmers for i in range(len(r or "") - 29)) for r in reads]
+        assert judge.judge(pa.array(["A" * 40, None, *reads], pa.string()).slice(2), table).tolist() == want
+    assert judge.judge(pa.array(["\xdf" * 40, "A" * 40, None]), table).tolist() == [True, False, False]
+    assert screen.Screen([]).judge(pa.array(["A" * 40]), table).tolist() == [False]
+
+
+def test_counts_write_no_reads_without_a_hit(spark, tmp_path, monkeypatch):
+    cfg, lib = load(spark, tmp_path, ["v0", "w"], [GENE, OTHER], intersect_level=1)
+    far = random.Random(6)
+    other = lambda n: "".join(far.choices("ACGT", k=n))
+    # 29 letters of the library, so a seed of every k-mer around them but no k-mer
+    none = [(k, other(40) + "N" + GENE[k : k + 29] + "N" + other(40), other(60) + "N" + RC(OTHER[k : k + 29]) + "N" + other(9)) for k in range(40)]
+    held, hold = {}, scratch.hold
+    monkeypatch.setattr(scratch, "hold", lambda df, name: held.setdefault(name, hold(df, name)))
+    frame = lambda rows: spark.createDataFrame(rows, "pair_id long, r1 string, r2 string")
+    assert counts.feature_counts(frame(none), lib, cfg).collect() == []
+    assert {name: df.count() for name, df in held.items()} == dict.fromkeys(held, 0)
+    held.clear()
+    rows = frame([*none, (50, GENE[:85], RC(GENE[50:140])), (51, GENE[:85], RC(GENE[50:140])), (52, other(90), OTHER[:80].lower()), (53, OTHER[:80], None), (54, None, None)])
+    lean = sorted(map(tuple, counts.feature_counts(rows, lib, cfg).collect()))
+    assert sum(df.count() for name, df in held.items() if name == "pairs") == 3
+    held.clear()
+    monkeypatch.setattr(align, "BROADCAST_BASES", 0)  # nothing is screened
+    assert sorted(map(tuple, counts.feature_counts(rows, lib, cfg).collect())) == lean == [(["v0"], 1), (["w"], 2)]
