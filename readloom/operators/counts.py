@@ -41,6 +41,8 @@ def trace(pairs: DataFrame, library: DataFrame, cfg: Config, found: DataFrame |
         lost = lambda m: F.struct(F.lit(align.PAIR).alias("reason"), *[F.col(f"{m}.{c}").alias(c) for c in ("norm", "score", "shown")], F.lit(None).cast("array<bigint>").alias("cls"))
         drop = lambda m: F.when(F.col(m).isNull() | ok, F.col(m)).otherwise(lost(m))
         both = both.select("pair_id", drop("r1").alias("r1"), drop("r2").alias("r2"))
+    if hit_only:  # few, and read twice: else they are aligned twice
+        both = scratch.hold(both, "mates")
     flat = both.select("pair_id", F.explode(F.array(F.struct(F.lit(1).alias("mate"), F.col("r1.cls").alias("cls")), F.struct(F.lit(2).alias("mate"), F.col("r2.cls").alias("cls")))).alias("x")).select("pair_id", "x.mate", "x.cls")
     calls = orient.calls_of(flat, library)
     kept = orient.settled(orient.states(calls, "grp")).where(orient.keeps(cfg.chemistry))

@@ -211,8 +211,9 @@ def test_screen_finds_each_kmer_and_no_others(monkeypatch, block):
     assert screen.Screen([]).judge(pa.array(["A" * 40]), table).tolist() == [False]
 
 
-def test_counts_write_no_reads_without_a_hit(spark, tmp_path, monkeypatch):
-    cfg, lib = load(spark, tmp_path, ["v0", "w"], [GENE, OTHER], intersect_level=1)
+@pytest.mark.parametrize(("changes", "want"), [({"intersect_level": 1}, [(["v0"], 2), (["w"], 2)]), ({"require_valid_pair": True}, [(["v0"], 1)])], ids=["fallback", "valid_pair"])
+def test_counts_write_no_reads_without_a_hit(spark, tmp_path, monkeypatch, changes, want):
+    cfg, lib = load(spark, tmp_path, ["v0", "w"], [GENE, OTHER], **changes)
     far = random.Random(6)
     other = lambda n: "".join(far.choices("ACGT", k=n))
     # 29 letters of the library, so a seed of every k-mer around them but no k-mer
@@ -223,9 +224,9 @@ def test_counts_write_no_reads_without_a_hit(spark, tmp_path, monkeypatch):
     assert counts.feature_counts(frame(none), lib, cfg).collect() == []
     assert {name: df.count() for name, df in held.items()} == dict.fromkeys(held, 0)
     held.clear()
-    rows = frame([*none, (50, GENE[:85], RC(GENE[50:140])), (51, GENE[:85], RC(GENE[50:140])), (52, other(90), OTHER[:80].lower()), (53, OTHER[:80], None), (54, None, None)])
+    rows = frame([*none, (50, GENE[:85], RC(GENE[50:140])), (51, GENE[:85], RC(GENE[50:140])), (52, other(90), OTHER[:80].lower()), (53, OTHER[:80], None), (54, None, None), (55, GENE[:85], GENE[60:150])])
     lean = sorted(map(tuple, counts.feature_counts(rows, lib, cfg).collect()))
-    assert sum(df.count() for name, df in held.items() if name == "pairs") == 3
+    assert {name: held[name].count() for name in ("pairs", "mates")} == {"pairs": 4, "mates": 4}  # pairs meet and are aligned once
     held.clear()
     monkeypatch.setattr(align, "BROADCAST_BASES", 0)  # nothing is screened
-    assert sorted(map(tuple, counts.feature_counts(rows, lib, cfg).collect())) == lean == [(["v0"], 1), (["w"], 2)]
+    assert sorted(map(tuple, counts.feature_counts(rows, lib, cfg).collect())) == lean == want
